@@ -1,0 +1,159 @@
+"""Column profile: one row of facts per column."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from plumbline.functions.columns import is_text, kind_of, number_columns, present
+from plumbline.operators.quantiles import quantiles
+
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+# Longer strings are told apart by their SHA-256 digest, which is longer than
+# any string kept as it is.
+LONGEST_PLAIN_TEXT = 64
+
+PROFILE_SCHEMA = {
+    "column": "string",
+    "kind": "string",
+    "rows": "bigint",
+    "nulls": "bigint",
+    "distinct": "bigint",
+    "min_number": "double",
+    "max_number": "double",
+    "mean": "double",
+    "sd": "double",
+    "q1": "double",
+    "median": "double",
+    "q3": "double",
+    "min_text": "string",
+    "max_text": "string",
+}
+
+
+def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """Rows, missing values, distinct values, extremes, mean, sd and quartiles.
+
+    Numeric columns fill the number fields; text, time and boolean columns fill
+    ``min_text`` and ``max_text``. NaN counts as missing. ``sd`` is the sample
+    standard deviation.
+
+    With ``exact=False`` distinct counts and quartiles are estimates, and the
+    whole profile is a single pass over the table without a shuffle of values.
+    """
+    columns = list(columns) if columns is not None else df.columns
+    parts = [_single_pass(df, columns, exact)]
+    if exact:
+        parts.append(distinct_counts(df, columns))
+        numbers = [c for c in columns if kind_of(df.schema[c].dataType) == "number"]
+        if numbers:
+            parts.append(_quartiles(df, numbers))
+    # A handful of rows per column: combining them is one tiny aggregate.
+    together = reduce(lambda a, b: a.unionByName(b), [_padded(p) for p in parts])
+    return together.groupBy("column").agg(
+        *[F.max(name).alias(name) for name in PROFILE_SCHEMA if name != "column"]
+    )
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Exact number of distinct present values: rows (``column``, ``distinct``).
+
+    One narrow branch per column. Several ``count_distinct`` in one aggregate
+    would instead copy every row once per column, each copy as wide as all of
+    them. Duplicates are removed before the shuffle, so a frequent value costs
+    one row per task.
+    """
+    columns = list(columns) if columns is not None else df.columns
+    branches = [
+        df.select(_comparable(df, name).alias("value"))
+        .where(F.col("value").isNotNull())
+        .distinct()
+        .agg(F.count("*").alias("distinct"))
+        .select(F.lit(name).alias("column"), "distinct")
+        for name in columns
+    ]
+    return reduce(lambda a, b: a.unionByName(b), branches)
+
+
+def _comparable(df: DataFrame, name: str) -> Column:
+    data_type = df.schema[name].dataType
+    value = present(df, name)
+    if kind_of(data_type) == "other" and data_type.typeName() != "binary":
+        value = F.when(value.isNotNull(), F.to_json(F.struct(value.alias("value"))))
+    elif not is_text(data_type):
+        return value
+    digest = F.concat(F.lit("sha256:"), F.sha2(value, 256))
+    return F.when(F.length(value) > LONGEST_PLAIN_TEXT, digest).otherwise(value)
+
+
+def _single_pass(df: DataFrame, columns: Sequence[str], exact: bool) -> DataFrame:
+    facts: list[Column] = [F.count("*").alias("rows")]
+    entries: list[Column] = []
+    for i, name in enumerate(columns):
+        kind = kind_of(df.schema[name].dataType)
+        value = present(df, name)
+        facts.append(F.count(value).alias(f"count_{i}"))
+        fields = {
+            "column": F.lit(name),
+            "kind": F.lit(kind),
+            "rows": F.col("rows"),
+            "nulls": F.col("rows") - F.col(f"count_{i}"),
+        }
+        if kind == "number":
+            number = value.cast("double")
+            facts += [
+                F.min(value).cast("double").alias(f"min_{i}"),
+                F.max(value).cast("double").alias(f"max_{i}"),
+                F.avg(number).alias(f"mean_{i}"),
+                F.stddev_samp(number).alias(f"sd_{i}"),
+            ]
+            fields |= {
+                "min_number": F.col(f"min_{i}"),
+                "max_number": F.col(f"max_{i}"),
+                "mean": F.col(f"mean_{i}"),
+                "sd": F.col(f"sd_{i}"),
+            }
+        elif kind != "other":
+            facts += [
+                F.min(value).cast("string").alias(f"min_{i}"),
+                F.max(value).cast("string").alias(f"max_{i}"),
+            ]
+            fields |= {"min_text": F.col(f"min_{i}"), "max_text": F.col(f"max_{i}")}
+        if not exact:
+            facts.append(F.approx_count_distinct(_comparable(df, name)).alias(f"distinct_{i}"))
+            fields["distinct"] = F.col(f"distinct_{i}")
+            if kind == "number":
+                shares = [F.lit(s) for s in QUARTILES.values()]
+                facts.append(F.percentile_approx(number, F.array(*shares)).alias(f"quart_{i}"))
+                fields |= {q: F.col(f"quart_{i}")[j] for j, q in enumerate(QUARTILES)}
+        entries.append(
+            F.struct(
+                *[
+                    fields.get(field, F.lit(None)).cast(data_type).alias(field)
+                    for field, data_type in PROFILE_SCHEMA.items()
+                ]
+            )
+        )
+    return df.agg(*facts).select(F.inline(F.array(*entries)))
+
+
+def _quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    found = quantiles(df, number_columns(df, columns), list(QUARTILES.values()))
+    return found.select(
+        "column",
+        *[
+            F.when(F.col("share") == share, F.col("value")).alias(name)
+            for name, share in QUARTILES.items()
+        ],
+    )
+
+
+def _padded(part: DataFrame) -> DataFrame:
+    return part.select(
+        *[
+            (F.col(name) if name in part.columns else F.lit(None).cast(data_type)).alias(name)
+            for name, data_type in PROFILE_SCHEMA.items()
+        ]
+    )

@@ -1,0 +1,226 @@
+"""Exact quantiles of whole columns without sorting them."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from plumbline.functions.columns import number_columns, present
+
+ROWS_PER_TASK = 2_000_000
+SKETCH_ERROR = 1e-3
+
+
+@dataclass(frozen=True)
+class _Interval:
+    """The closed value range that holds one wanted quantile of one column."""
+
+    column: int
+    share: float
+    low_rank: int
+    high_rank: int
+    part: float
+    low: float
+    high: float
+    before: int
+    upto: int
+    between: int  # rows strictly between low and high
+
+    def holds(self) -> bool:
+        return self.before <= self.low_rank and self.high_rank < self.upto
+
+
+def quantiles(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    shares: Sequence[float] = (0.25, 0.5, 0.75),
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Interpolated quantiles: one row (``column``, ``share``, ``value``) each.
+
+    Linear interpolation between neighbouring values, as SQL ``percentile``
+    does. NULL and NaN are left out; a column without values gives no row.
+
+    The built-in ``percentile`` keeps every distinct value of a column in one
+    buffer. Here a column with more than ``rows_per_task`` values is first
+    narrowed to a value range around each wanted rank: a sketch proposes the
+    range and an exact count confirms it, both without a shuffle, so the few
+    remaining rows can be sorted whatever the size of the table. These passes
+    run when the function is called and bring a few numbers per column back.
+    """
+    columns = number_columns(df, columns)
+    places = [f"value_{i}" for i in range(len(columns))]
+    numbers = df.select(
+        *[present(df, c).cast("double").alias(p) for c, p in zip(columns, places)]
+    )
+    totals = numbers.agg(*[F.count(p).alias(p) for p in places]).first()
+    intervals = [
+        _whole(i, float(share), total)
+        for i, total in enumerate(totals)
+        if total
+        for share in shares
+    ]
+    narrowed = _narrow(numbers, intervals, rows_per_task)
+    return _pick(df.sparkSession, numbers, columns, narrowed)
+
+
+def _whole(column: int, share: float, total: int) -> _Interval:
+    position = share * (total - 1)
+    low_rank = math.floor(position)
+    return _Interval(
+        column,
+        share,
+        low_rank,
+        min(low_rank + 1, total - 1),
+        position - low_rank,
+        -math.inf,
+        math.inf,
+        0,
+        total,
+        total,
+    )
+
+
+def _narrow(
+    numbers: DataFrame, intervals: Sequence[_Interval], rows_per_task: int
+) -> list[_Interval]:
+    done = [i for i in intervals if i.between <= rows_per_task]
+    wide = [i for i in intervals if i.between > rows_per_task]
+    while wide:
+        tried = _confirm(numbers, _propose(numbers, wide), wide)
+        # Equal values cannot be told apart further, so give up on a range
+        # that no longer shrinks: sorting it is slower but as right.
+        done += [
+            new
+            for old, new in zip(wide, tried)
+            if new.between <= rows_per_task or new.between > old.between / 2
+        ]
+        wide = [i for i in tried if i not in done]
+    return done
+
+
+def _value(interval: _Interval) -> Column:
+    return F.col(f"value_{interval.column}")
+
+
+def _propose(numbers: DataFrame, wide: Sequence[_Interval]) -> list[tuple[float, float]]:
+    """Value ranges that hold the wanted ranks, going by a sketch."""
+    margin = 2 * SKETCH_ERROR
+    ends = []
+    for i in wide:
+        inside = i.upto - i.before
+        ends.append(
+            (
+                (i.low_rank - i.before) / inside - margin,
+                (i.high_rank + 1 - i.before) / inside + margin,
+            )
+        )
+    asked = sorted({e for pair in ends for e in pair if 0 < e < 1})
+    if not asked:
+        return [(i.low, i.high) for i in wide]
+    # Quantiles of several intervals of one column come from one sketch.
+    ranges = list(dict.fromkeys((i.column, i.low, i.high) for i in wide))
+    inside = numbers.select(
+        *[
+            F.when(F.col(f"value_{column}").between(low, high), F.col(f"value_{column}")).alias(
+                f"range_{j}"
+            )
+            for j, (column, low, high) in enumerate(ranges)
+        ]
+    )
+    names = [f"range_{j}" for j in range(len(ranges))]
+    found = dict(zip(ranges, inside.approxQuantile(names, asked, SKETCH_ERROR)))
+    proposed = []
+    for i, (start, stop) in zip(wide, ends):
+        sketch = dict(zip(asked, found[(i.column, i.low, i.high)]))
+        proposed.append((sketch.get(start, i.low), sketch.get(stop, i.high)))
+    return proposed
+
+
+def _confirm(
+    numbers: DataFrame, proposed: Sequence[tuple[float, float]], wide: Sequence[_Interval]
+) -> list[_Interval]:
+    """Count the proposed ranges exactly; keep the old range where a rank is outside."""
+    counts = []
+    for j, ((low, high), i) in enumerate(zip(proposed, wide)):
+        value = _value(i)
+        counts += [
+            F.count_if(value < low).alias(f"before_{j}"),
+            F.count_if(value <= high).alias(f"upto_{j}"),
+            F.count_if((value > low) & (value < high)).alias(f"between_{j}"),
+        ]
+    counted = numbers.agg(*counts).first()
+    confirmed = []
+    for j, ((low, high), i) in enumerate(zip(proposed, wide)):
+        new = _Interval(
+            i.column,
+            i.share,
+            i.low_rank,
+            i.high_rank,
+            i.part,
+            low,
+            high,
+            counted[f"before_{j}"],
+            counted[f"upto_{j}"],
+            counted[f"between_{j}"],
+        )
+        confirmed.append(new if new.holds() else i)
+    return confirmed
+
+
+def _pick(spark, numbers: DataFrame, columns: Sequence[str], intervals: Sequence[_Interval]):
+    # Intervals with the same range share their rows.
+    ranges = list(dict.fromkeys((i.column, i.low, i.high) for i in intervals))
+    # One row per column and range: a few rows, whatever the table.
+    range_rows = spark.createDataFrame(
+        [(j, f"value_{c}", low, high) for j, (c, low, high) in enumerate(ranges)],
+        "range int, place string, low double, high double",
+    )
+    wanted = spark.createDataFrame(
+        [
+            (
+                ranges.index((i.column, i.low, i.high)),
+                columns[i.column],
+                i.share,
+                i.part,
+                i.low_rank - i.before,
+                i.high_rank - i.before,
+            )
+            for i in intervals
+        ],
+        "range int, column string, share double, part double, low_rank bigint, high_rank bigint",
+    )
+    used = sorted({c for c, _, _ in ranges})
+    if all(math.isfinite(low) or math.isfinite(high) for _, low, high in ranges):
+        near = [F.col(f"value_{c}").between(low, high) for c, low, high in ranges]
+        numbers = numbers.where(reduce(lambda a, b: a | b, near))
+    values = numbers.unpivot([], [f"value_{c}" for c in used], "place", "value")
+    in_range = Window.partitionBy("range")
+    counted = (
+        values.where(F.col("value").isNotNull())
+        .join(F.broadcast(range_rows), "place")
+        .where(F.col("value").between(F.col("low"), F.col("high")))
+        .groupBy("range", "value")
+        .agg(F.count("*").alias("n"))
+        .withColumn("last", F.sum("n").over(in_range.orderBy("value")))
+        .withColumn("first", F.col("last") - F.col("n"))
+    )
+
+    def at(rank: str) -> Column:
+        hit = (F.col(rank) >= F.col("first")) & (F.col(rank) < F.col("last"))
+        return F.max(F.when(hit, F.col("value")))
+
+    ends = (
+        counted.join(F.broadcast(wanted), "range")
+        .where((F.col("high_rank") >= F.col("first")) & (F.col("low_rank") < F.col("last")))
+        .groupBy("column", "share", "part")
+        .agg(at("low_rank").alias("low"), at("high_rank").alias("high"))
+    )
+    between = F.when(
+        (F.col("part") == 0) | (F.col("low") == F.col("high")), F.col("low")
+    ).otherwise(F.col("low") + F.col("part") * (F.col("high") - F.col("low")))
+    return ends.select("column", "share", between.alias("value"))

@@ -1,0 +1 @@
+"""Left empty: no check of this package keeps state over a stream."""
