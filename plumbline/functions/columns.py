@@ -57,3 +57,12 @@ def number_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[
         if not is_number(df.schema[name].dataType):
             raise TypeError(f"column {name!r} is not numeric")
     return list(columns)
+
+
+def batches(items: Sequence, size: int) -> list[Sequence]:
+    """The items in order, at most ``size`` at a time.
+
+    Aggregates over many columns are built in batches: Spark gives up
+    generated code beyond ``spark.sql.codegen.maxFields`` running values.
+    """
+    return [items[i : i + size] for i in range(0, len(items), size)]

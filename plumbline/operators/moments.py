@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.columns import col, number_columns, present
+from plumbline.functions.columns import batches, col, number_columns, present
 
 
 def moments(
@@ -20,6 +21,11 @@ def moments(
     row per group and column; each task sends one row per group it has seen.
     """
     columns = [c for c in number_columns(df, columns) if c not in by]
+    parts = [_moments(df, part, by) for part in batches(columns, 6)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _moments(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
     facts = []
     for i, name in enumerate(columns):
         value = present(df, name).cast("double")
@@ -47,10 +53,14 @@ def moments(
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair: ``left``, ``right``, ``n``, ``correlation``.
 
-    A row counts for a pair if both values are present. One pass for all pairs.
+    A row counts for a pair if both values are present. Many pairs share a pass.
     """
-    columns = number_columns(df, columns)
-    pairs = list(combinations(columns, 2))
+    pairs = list(combinations(number_columns(df, columns), 2))
+    parts = [_correlations(df, part) for part in batches(pairs, 12)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     facts = []
     for i, (left, right) in enumerate(pairs):
         x, y = present(df, left).cast("double"), present(df, right).cast("double")

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.columns import is_text, kind_of, number_columns, present
+from plumbline.functions.columns import batches, is_text, kind_of, number_columns, present
 from plumbline.operators.quantiles import quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -89,51 +89,60 @@ def _comparable(df: DataFrame, name: str) -> Column:
 
 
 def _single_pass(df: DataFrame, columns: Sequence[str], exact: bool) -> DataFrame:
+    """The facts that need no shuffle of values.
+
+    Numeric and other columns go into aggregates of their own, a few columns
+    each: Spark gives up generated code for an aggregate that keeps too many
+    running values, and text extremes slow down the numeric ones beside them.
+    """
+    numbers = [c for c in columns if kind_of(df.schema[c].dataType) == "number"]
+    others = [c for c in columns if c not in numbers]
+    branches = [
+        _facts(df, part, exact) for part in [*batches(numbers, 8), *batches(others, 8)]
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
+
+
+def _facts(df: DataFrame, columns: Sequence[str], exact: bool) -> DataFrame:
     facts: list[Column] = [F.count("*").alias("rows")]
     entries: list[Column] = []
     for i, name in enumerate(columns):
         kind = kind_of(df.schema[name].dataType)
         value = present(df, name)
-        facts.append(F.count(value).alias(f"count_{i}"))
-        fields = {
-            "column": F.lit(name),
-            "kind": F.lit(kind),
-            "rows": F.col("rows"),
-            "nulls": F.col("rows") - F.col(f"count_{i}"),
-        }
+        number = value.cast("double")
+        found: dict[str, Column] = {}
         if kind == "number":
-            number = value.cast("double")
-            facts += [
-                F.min(value).cast("double").alias(f"min_{i}"),
-                F.max(value).cast("double").alias(f"max_{i}"),
-                F.avg(number).alias(f"mean_{i}"),
-                F.stddev_samp(number).alias(f"sd_{i}"),
-            ]
-            fields |= {
-                "min_number": F.col(f"min_{i}"),
-                "max_number": F.col(f"max_{i}"),
-                "mean": F.col(f"mean_{i}"),
-                "sd": F.col(f"sd_{i}"),
+            found = {
+                "min_number": F.min(value).cast("double"),
+                "max_number": F.max(value).cast("double"),
+                "mean": F.avg(number),
+                "sd": F.stddev_samp(number),
+            }
+        elif kind == "other":
+            found = dict.fromkeys(("min_text", "max_text"), F.max(F.lit(None).cast("string")))
+        else:
+            found = {
+                "min_text": F.min(value).cast("string"),
+                "max_text": F.max(value).cast("string"),
             }
-        elif kind != "other":
-            facts += [
-                F.min(value).cast("string").alias(f"min_{i}"),
-                F.max(value).cast("string").alias(f"max_{i}"),
-            ]
-            fields |= {"min_text": F.col(f"min_{i}"), "max_text": F.col(f"max_{i}")}
         if not exact:
-            facts.append(F.approx_count_distinct(_comparable(df, name)).alias(f"distinct_{i}"))
-            fields["distinct"] = F.col(f"distinct_{i}")
-            if kind == "number":
-                shares = [F.lit(s) for s in QUARTILES.values()]
-                facts.append(F.percentile_approx(number, F.array(*shares)).alias(f"quart_{i}"))
-                fields |= {q: F.col(f"quart_{i}")[j] for j, q in enumerate(QUARTILES)}
+            found["distinct"] = F.approx_count_distinct(_comparable(df, name))
+        if not exact and kind == "number":
+            shares = [F.lit(s) for s in QUARTILES.values()]
+            found["quartiles"] = F.percentile_approx(number, F.array(*shares))
+        facts.append(F.count(value).alias(f"count_{i}"))
+        facts += [fact.alias(f"{field}_{i}") for field, fact in found.items()]
+        fields = {field: F.col(f"{field}_{i}") for field in found}
+        if "quartiles" in fields:
+            quartiles = fields.pop("quartiles")
+            fields |= {q: quartiles[j] for j, q in enumerate(QUARTILES)}
         entries.append(
             F.struct(
-                *[
-                    fields.get(field, F.lit(None)).cast(data_type).alias(field)
-                    for field, data_type in PROFILE_SCHEMA.items()
-                ]
+                F.lit(name).alias("column"),
+                F.lit(kind).alias("kind"),
+                F.col("rows"),
+                (F.col("rows") - F.col(f"count_{i}")).alias("nulls"),
+                *[value.alias(field) for field, value in fields.items()],
             )
         )
     return df.agg(*facts).select(F.inline(F.array(*entries)))

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.columns import number_columns, present
+from plumbline.functions.columns import col, number_columns, present
 
 ROWS_PER_TASK = 2_000_000
 SKETCH_ERROR = 1e-3
@@ -65,7 +65,7 @@ def quantiles(
         for share in shares
     ]
     narrowed = _narrow(numbers, intervals, rows_per_task)
-    return _pick(df.sparkSession, numbers, columns, narrowed)
+    return _pick(df, columns, narrowed)
 
 
 def _whole(column: int, share: float, total: int) -> _Interval:
@@ -172,15 +172,15 @@ def _confirm(
     return confirmed
 
 
-def _pick(spark, numbers: DataFrame, columns: Sequence[str], intervals: Sequence[_Interval]):
+def _pick(df: DataFrame, columns: Sequence[str], intervals: Sequence[_Interval]) -> DataFrame:
     # Intervals with the same range share their rows.
     ranges = list(dict.fromkeys((i.column, i.low, i.high) for i in intervals))
     # One row per column and range: a few rows, whatever the table.
-    range_rows = spark.createDataFrame(
-        [(j, f"value_{c}", low, high) for j, (c, low, high) in enumerate(ranges)],
-        "range int, place string, low double, high double",
+    range_rows = df.sparkSession.createDataFrame(
+        [(j, column, low, high) for j, (column, low, high) in enumerate(ranges)],
+        "range int, place int, low double, high double",
     )
-    wanted = spark.createDataFrame(
+    wanted = df.sparkSession.createDataFrame(
         [
             (
                 ranges.index((i.column, i.low, i.high)),
@@ -194,15 +194,14 @@ def _pick(spark, numbers: DataFrame, columns: Sequence[str], intervals: Sequence
         ],
         "range int, column string, share double, part double, low_rank bigint, high_rank bigint",
     )
-    used = sorted({c for c, _, _ in ranges})
-    if all(math.isfinite(low) or math.isfinite(high) for _, low, high in ranges):
-        near = [F.col(f"value_{c}").between(low, high) for c, low, high in ranges]
-        numbers = numbers.where(reduce(lambda a, b: a | b, near))
-    values = numbers.unpivot([], [f"value_{c}" for c in used], "place", "value")
+    branches = [
+        _near(df, column, name, [(low, high) for c, low, high in ranges if c == column])
+        for column, name in enumerate(columns)
+    ]
+    values = reduce(lambda a, b: a.unionByName(b), branches)
     in_range = Window.partitionBy("range")
     counted = (
-        values.where(F.col("value").isNotNull())
-        .join(F.broadcast(range_rows), "place")
+        values.join(F.broadcast(range_rows), "place")
         .where(F.col("value").between(F.col("low"), F.col("high")))
         .groupBy("range", "value")
         .agg(F.count("*").alias("n"))
@@ -224,3 +223,17 @@ def _pick(spark, numbers: DataFrame, columns: Sequence[str], intervals: Sequence
         (F.col("part") == 0) | (F.col("low") == F.col("high")), F.col("low")
     ).otherwise(F.col("low") + F.col("part") * (F.col("high") - F.col("low")))
     return ends.select("column", "share", between.alias("value"))
+
+
+def _near(
+    df: DataFrame, column: int, name: str, ranges: Sequence[tuple[float, float]]
+) -> DataFrame:
+    """The present values of a column within any of the ranges.
+
+    A branch per column, so that the scan gets the ranges as its own filter.
+    """
+    number = col(name).cast("double")
+    inside = [number.between(low, high) for low, high in ranges]
+    return df.where(reduce(lambda a, b: a | b, inside, F.lit(False))).select(
+        F.lit(column).alias("place"), number.alias("value")
+    )
