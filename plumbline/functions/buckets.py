@@ -85,7 +85,9 @@ class OrderedBuckets:
         step = F.floor(
             F.least((F.col("value") - low) * scale, F.lit(float(self.fine - 1)))
         )
-        bucket = F.col("range").cast("bigint") * self.fine + step
+        # Never NULL, and coalesce() says so: otherwise a join on the bucket
+        # would compute it once more to filter on.
+        bucket = F.coalesce(F.col("range").cast("bigint") * self.fine + step, F.lit(-1))
         return ranged.select(
             *[col(k) for k in keep],
             F.lit(name).alias("column"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -175,65 +175,74 @@ def _confirm(
 def _pick(df: DataFrame, columns: Sequence[str], intervals: Sequence[_Interval]) -> DataFrame:
     # Intervals with the same range share their rows.
     ranges = list(dict.fromkeys((i.column, i.low, i.high) for i in intervals))
-    # One row per column and range: a few rows, whatever the table.
-    range_rows = df.sparkSession.createDataFrame(
-        [(j, column, low, high) for j, (column, low, high) in enumerate(ranges)],
-        "range int, place int, low double, high double",
-    )
-    wanted = df.sparkSession.createDataFrame(
-        [
-            (
-                ranges.index((i.column, i.low, i.high)),
-                columns[i.column],
-                i.share,
-                i.part,
-                i.low_rank - i.before,
-                i.high_rank - i.before,
-            )
-            for i in intervals
-        ],
-        "range int, column string, share double, part double, low_rank bigint, high_rank bigint",
-    )
     branches = [
-        _near(df, column, name, [(low, high) for c, low, high in ranges if c == column])
+        _near(df, name, [(j, *r[1:]) for j, r in enumerate(ranges) if r[0] == column])
         for column, name in enumerate(columns)
     ]
-    values = reduce(lambda a, b: a.unionByName(b), branches)
     in_range = Window.partitionBy("range")
     counted = (
-        values.join(F.broadcast(range_rows), "place")
-        .where(F.col("value").between(F.col("low"), F.col("high")))
+        reduce(lambda a, b: a.unionByName(b), branches)
         .groupBy("range", "value")
         .agg(F.count("*").alias("n"))
         .withColumn("last", F.sum("n").over(in_range.orderBy("value")))
         .withColumn("first", F.col("last") - F.col("n"))
     )
 
-    def at(rank: str) -> Column:
-        hit = (F.col(rank) >= F.col("first")) & (F.col(rank) < F.col("last"))
+    # What is wanted of each range: constants, looked up by its number.
+    wanted = [[i for i in intervals if (i.column, i.low, i.high) == r] for r in ranges]
+    slots = max(map(len, wanted), default=0)
+
+    def constant(slot: int, of: Callable[[_Interval], object]) -> Column:
+        values = [of(w[slot]) if slot < len(w) else None for w in wanted]
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("range"))
+
+    def value_at(rank: Column) -> Column:
+        hit = (rank >= F.col("first")) & (rank < F.col("last"))
         return F.max(F.when(hit, F.col("value")))
 
-    ends = (
-        counted.join(F.broadcast(wanted), "range")
-        .where((F.col("high_rank") >= F.col("first")) & (F.col("low_rank") < F.col("last")))
-        .groupBy("column", "share", "part")
-        .agg(at("low_rank").alias("low"), at("high_rank").alias("high"))
-    )
+    facts, entries = [], []
+    for k in range(slots):
+        facts += [
+            value_at(constant(k, lambda i: i.low_rank - i.before)).alias(f"low_{k}"),
+            value_at(constant(k, lambda i: i.high_rank - i.before)).alias(f"high_{k}"),
+        ]
+        entries.append(
+            F.struct(
+                constant(k, lambda i: columns[i.column]).alias("column"),
+                constant(k, lambda i: i.share).alias("share"),
+                constant(k, lambda i: i.part).alias("part"),
+                F.col(f"low_{k}").alias("low"),
+                F.col(f"high_{k}").alias("high"),
+            )
+        )
+    if not slots:
+        return df.sparkSession.createDataFrame([], "column string, share double, value double")
     between = F.when(
         (F.col("part") == 0) | (F.col("low") == F.col("high")), F.col("low")
     ).otherwise(F.col("low") + F.col("part") * (F.col("high") - F.col("low")))
-    return ends.select("column", "share", between.alias("value"))
+    # The aggregate uses the partitioning of the window.
+    return (
+        counted.groupBy("range")
+        .agg(*facts)
+        .select(F.inline(F.array(*entries)))
+        .where(F.col("share").isNotNull())
+        .select("column", "share", between.alias("value"))
+    )
 
 
-def _near(
-    df: DataFrame, column: int, name: str, ranges: Sequence[tuple[float, float]]
-) -> DataFrame:
-    """The present values of a column within any of the ranges.
+def _near(df: DataFrame, name: str, ranges: Sequence[tuple[int, float, float]]) -> DataFrame:
+    """The values of a column within any of the numbered ranges, once for each.
 
     A branch per column, so that the scan gets the ranges as its own filter.
+    NaN is beyond infinity and thus in none.
     """
     number = col(name).cast("double")
-    inside = [number.between(low, high) for low, high in ranges]
-    return df.where(reduce(lambda a, b: a | b, inside, F.lit(False))).select(
-        F.lit(column).alias("place"), number.alias("value")
+    inside = {j: number.between(low, high) for j, low, high in ranges}
+    if len(ranges) == 1:
+        place = F.lit(ranges[0][0])
+    else:
+        hits = [F.when(hit, F.lit(j)) for j, hit in inside.items()]
+        place = F.explode(F.array_compact(F.array(*hits).cast("array<int>")))
+    return df.where(reduce(lambda a, b: a | b, inside.values(), F.lit(False))).select(
+        place.alias("range"), number.alias("value")
     )

@@ -27,3 +27,8 @@ def sql_rows(connection, sql: str) -> tuple[list[str], list[tuple]]:
     names = sorted(found)
     places = [found.index(n) for n in names]
     return names, sorted((tuple(row[i] for i in places) for row in result.fetchall()), key=repr)
+
+
+def sql_types(connection, sql: str) -> dict[str, str]:
+    described = connection.execute(f"DESCRIBE {sql}").fetchall()
+    return {row[0]: row[1] for row in described}
