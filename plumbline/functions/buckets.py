@@ -7,9 +7,9 @@ ranges instead. Totals per range then form a small table, and only the rows of
 the ranges that matter have to be brought together and sorted.
 
 The cut points come from one approximate-quantile pass. They decide only how
-even the ranges are: any cut points give the same results. Each of the coarse
-ranges is divided evenly once more by arithmetic, so that a cheap, coarse
-sketch is enough.
+even the ranges are: any cut points give the same results. The number of coarse
+ranges grows with the table up to a fixed bound, and each is divided evenly
+once more by arithmetic.
 """
 
 from __future__ import annotations
@@ -24,17 +24,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col, present
 
-COARSE = 64
-FINE = 256
-SKETCH_ERROR = 1e-3
+ROWS_PER_RANGE = 1_000_000
+MOST_RANGES = 4096
+FINE = 16
 
 
 @dataclass(frozen=True)
 class OrderedBuckets:
     """Consecutive value ranges of some numeric columns.
 
-    At most ``(coarse + 2) * fine`` buckets per column, whatever the number of
-    rows: tables of one row per bucket may be broadcast and ordered as a whole.
+    At most ``(MOST_RANGES + 2) * FINE`` buckets per column, whatever the number
+    of rows: a table of one row per bucket takes a few megabytes and may be
+    broadcast, or ordered in one task.
     """
 
     cuts: dict[str, list[float]]
@@ -45,14 +46,17 @@ class OrderedBuckets:
         cls,
         df: DataFrame,
         columns: Sequence[str],
-        coarse: int = COARSE,
+        coarse: int | None = None,
         fine: int = FINE,
     ) -> OrderedBuckets:
-        """Choose the cut points. Runs one Spark job over the given columns."""
+        """Choose the cut points. Counts the rows and sketches the given columns."""
+        if coarse is None:
+            coarse = min(max(df.count() // ROWS_PER_RANGE, 8), MOST_RANGES)
         places = [f"value_{i}" for i in range(len(columns))]
         numbers = df.select(*[_as_double(df, c).alias(p) for c, p in zip(columns, places)])
         shares = [i / coarse for i in range(coarse + 1)]
-        found = numbers.approxQuantile(places, shares, SKETCH_ERROR)
+        error = max(min(1e-3, 1 / (4 * coarse)), 1e-4)
+        found = numbers.approxQuantile(places, shares, error)
         cuts = {}
         for name, values in zip(columns, found):
             finite = sorted({v for v in values if math.isfinite(v)})

@@ -53,10 +53,11 @@ def _moments(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFr
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair: ``left``, ``right``, ``n``, ``correlation``.
 
-    A row counts for a pair if both values are present. Many pairs share a pass.
+    A row counts for a pair if both values are present. The correlation with a
+    constant is NULL. Several pairs share a pass.
     """
     pairs = list(combinations(number_columns(df, columns), 2))
-    parts = [_correlations(df, part) for part in batches(pairs, 12)]
+    parts = [_correlations(df, part) for part in batches(pairs, 8)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -64,9 +65,12 @@ def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     facts = []
     for i, (left, right) in enumerate(pairs):
         x, y = present(df, left).cast("double"), present(df, right).cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        # The built-in corr() fails on a constant column in ANSI mode.
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
         facts += [
-            F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n_{i}"),
-            F.corr(x, y).alias(f"correlation_{i}"),
+            F.count(x).alias(f"n_{i}"),
+            F.try_divide(F.covar_pop(x, y), spread).alias(f"correlation_{i}"),
         ]
     entries = [
         F.struct(

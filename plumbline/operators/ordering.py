@@ -29,7 +29,7 @@ def order_gaps(
     """
     rows = df.select(
         col(entity).alias("entity"), col(order).alias("order"), col(time).alias("time")
-    ).dropna()
+    ).where("entity IS NOT NULL AND order IS NOT NULL AND time IS NOT NULL")
     # At most (number of rows / rows_per_task) of them.
     large = (
         rows.groupBy("entity")
@@ -93,15 +93,13 @@ def order_summary(
 
 def _chunks(rows: DataFrame, large: DataFrame) -> DataFrame:
     """Large entities cut by the buckets of ``order``, all others left whole."""
-    large = large.withColumn("large", F.lit(True))
-    marked = rows.join(F.broadcast(large), "entity", "left")
-    cut = marked.where(F.col("large")).select("entity", "order", "time")
+    cut = rows.join(F.broadcast(large), "entity", "left_semi")
     buckets = OrderedBuckets.fit(cut, ["order"])
     placed = buckets.long_form(cut, keep=["entity", "order", "time"]).select(
         "entity", "order", "time", F.col("bucket").alias("chunk")
     )
-    whole = marked.where(F.col("large").isNull()).select(
-        "entity", "order", "time", F.lit(0).cast("bigint").alias("chunk")
+    whole = rows.join(F.broadcast(large), "entity", "left_anti").withColumn(
+        "chunk", F.lit(0).cast("bigint")
     )
     return whole.unionByName(placed)
 

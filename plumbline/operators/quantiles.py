@@ -219,7 +219,7 @@ def _pick(df: DataFrame, columns: Sequence[str], intervals: Sequence[_Interval])
         return df.sparkSession.createDataFrame([], "column string, share double, value double")
     between = F.when(
         (F.col("part") == 0) | (F.col("low") == F.col("high")), F.col("low")
-    ).otherwise(F.col("low") + F.col("part") * (F.col("high") - F.col("low")))
+    ).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
     # The aggregate uses the partitioning of the window.
     return (
         counted.groupBy("range")
