@@ -3,15 +3,15 @@ from plumbline.operators.distributions import ks_statistics
 from plumbline.operators.keys import key_duplicates, key_summary
 from plumbline.operators.moments import correlations, moments
 from plumbline.operators.ordering import order_gaps, order_summary
-from plumbline.operators.profile import distinct_counts, profile
-from plumbline.operators.quantiles import quantiles
+from plumbline.operators.profiles import distinct_counts, profile
+from plumbline.operators.selection import quantiles
 from plumbline.operators.references import (
     Edge,
     orphan_keys,
     reference_check,
     reference_summary,
 )
-from plumbline.operators.report import findings, report
+from plumbline.operators.reporting import findings, report
 from plumbline.operators.rules import rule_check
 
 __all__ = [

@@ -20,9 +20,9 @@ def ks_statistics(
 
     The counts of ordered buckets give the difference at every bucket end, and
     for each bucket a bound that no value inside can exceed. Only buckets whose
-    bound is above the best difference already known are looked into, so two
-    groups that differ visibly need hardly any rows shuffled, and any others
-    are spread over all buckets that may decide.
+    bound reaches the best difference at an end are looked into, so two groups
+    that differ visibly need hardly any rows shuffled, and any others are
+    spread over all buckets that may decide.
     """
     columns = number_columns(df, columns)
     rows = df.where(col(group).isin(first, second)).select(
@@ -65,7 +65,13 @@ def ks_statistics(
             ),
         )
     )
-    open_buckets = ends.where(F.col("bound") > F.col("best")).select(
+    # The bucket with the best end is always among them. Where a group has no
+    # value there is no bound, and the last bucket is kept for the totals.
+    is_last = (F.col("upto_first") == F.col("total_first")) & (
+        F.col("upto_second") == F.col("total_second")
+    )
+    is_open = F.coalesce(F.col("bound") >= F.col("best"), is_last)
+    open_buckets = ends.where(is_open).select(
         "column", "bucket", "before_first", "before_second", "total_first", "total_second"
     )
 
@@ -92,9 +98,17 @@ def ks_statistics(
         )
         .withColumn("known", F.abs(_share("upto_first") - _share("upto_second")))
     )
-    found = (
-        ends.select("column", "known", "total_first", "total_second")
-        .unionByName(inside.select("column", "known", "total_first", "total_second"))
+    # A column without any value has no bucket, but gets its row.
+    zero = F.lit(0).cast("bigint")
+    nothing = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"),
+        zero.alias("total_first"),
+        zero.alias("total_second"),
+        F.lit(None).cast("double").alias("known"),
+    )
+    return (
+        inside.select(nothing.columns)
+        .unionByName(nothing)
         .groupBy("column")
         .agg(
             F.max("total_first").alias("n_first"),
@@ -102,14 +116,6 @@ def ks_statistics(
             F.max("known").alias("statistic"),
         )
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    zero = F.lit(0).cast("bigint")
-    return names.join(found, "column", "left").select(
-        "column",
-        F.coalesce("n_first", zero).alias("n_first"),
-        F.coalesce("n_second", zero).alias("n_second"),
-        "statistic",
-    )
 
 
 def _share(count: str) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import batches, is_text, kind_of, number_columns, present
-from plumbline.operators.quantiles import quantiles
+from plumbline.operators.selection import quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 # Longer strings are told apart by their SHA-256 digest, which is longer than

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.columns import col, number_columns, present
+from plumbline.functions.columns import batches, col, number_columns, present
 
 ROWS_PER_TASK = 2_000_000
 SKETCH_ERROR = 1e-3
@@ -145,15 +145,12 @@ def _confirm(
     numbers: DataFrame, proposed: Sequence[tuple[float, float]], wide: Sequence[_Interval]
 ) -> list[_Interval]:
     """Count the proposed ranges exactly; keep the old range where a rank is outside."""
-    counts = []
-    for j, ((low, high), i) in enumerate(zip(proposed, wide)):
-        value = _value(i)
-        counts += [
-            F.count_if(value < low).alias(f"before_{j}"),
-            F.count_if(value <= high).alias(f"upto_{j}"),
-            F.count_if((value > low) & (value < high)).alias(f"between_{j}"),
-        ]
-    counted = numbers.agg(*counts).first()
+    asked = list(zip(range(len(wide)), proposed, wide))
+    branches = []
+    for column in sorted({i.column for i in wide}):
+        of_column = [a for a in asked if a[2].column == column]
+        branches += [_count(numbers, part) for part in batches(of_column, 24)]
+    counted = {r["place"]: r for r in reduce(lambda a, b: a.unionByName(b), branches).collect()}
     confirmed = []
     for j, ((low, high), i) in enumerate(zip(proposed, wide)):
         new = _Interval(
@@ -164,14 +161,35 @@ def _confirm(
             i.part,
             low,
             high,
-            counted[f"before_{j}"],
-            counted[f"upto_{j}"],
-            counted[f"between_{j}"],
+            counted[j]["before"],
+            counted[j]["upto"],
+            counted[j]["between"],
         )
         confirmed.append(new if new.holds() else i)
     return confirmed
 
 
+def _count(numbers: DataFrame, asked: Sequence[tuple]) -> DataFrame:
+    """Rows below, up to the end of, and strictly between each proposed range."""
+    counts, entries = [], []
+    for j, (low, high), interval in asked:
+        value = _value(interval)
+        counts += [
+            F.count_if(value < low).alias(f"before_{j}"),
+            F.count_if(value <= high).alias(f"upto_{j}"),
+            F.count_if((value > low) & (value < high)).alias(f"between_{j}"),
+        ]
+        entries.append(
+            F.struct(
+                F.lit(j).alias("place"),
+                F.col(f"before_{j}").alias("before"),
+                F.col(f"upto_{j}").alias("upto"),
+                F.col(f"between_{j}").alias("between"),
+            )
+        )
+    return numbers.agg(*counts).select(F.inline(F.array(*entries)))
+
+
 def _pick(df: DataFrame, columns: Sequence[str], intervals: Sequence[_Interval]) -> DataFrame:
     # Intervals with the same range share their rows.
     ranges = list(dict.fromkeys((i.column, i.low, i.high) for i in intervals))
