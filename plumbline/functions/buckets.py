@@ -33,8 +33,8 @@ FINE = 16
 class OrderedBuckets:
     """Consecutive value ranges of some numeric columns.
 
-    At most ``(MOST_RANGES + 2) * FINE`` buckets per column, whatever the number
-    of rows: a table of one row per bucket takes a few megabytes and may be
+    By default at most ``MOST_RANGES * FINE`` buckets per column and one range
+    more at either end, whatever the number of rows: a table of one row per bucket takes a few megabytes and may be
     broadcast, or ordered in one task.
     """
 
@@ -47,11 +47,16 @@ class OrderedBuckets:
         df: DataFrame,
         columns: Sequence[str],
         coarse: int | None = None,
-        fine: int = FINE,
+        fine: int | None = FINE,
     ) -> OrderedBuckets:
-        """Choose the cut points. Counts the rows and sketches the given columns."""
+        """Choose the cut points. Counts the rows and sketches the given columns.
+
+        With ``fine=None`` as many buckets as the bound allows are made.
+        """
         if coarse is None:
             coarse = min(max(df.count() // ROWS_PER_RANGE, 8), MOST_RANGES)
+        if fine is None:
+            fine = MOST_RANGES * FINE // coarse
         places = [f"value_{i}" for i in range(len(columns))]
         numbers = df.select(*[_as_double(df, c).alias(p) for c, p in zip(columns, places)])
         shares = [i / coarse for i in range(coarse + 1)]

@@ -29,7 +29,8 @@ def ks_statistics(
         *[col(c) for c in columns],
         (col(group) == first).cast("int").alias("is_first"),
     )
-    buckets = OrderedBuckets.fit(rows, columns)
+    # The smaller the buckets, the tighter their bounds, the fewer are opened.
+    buckets = OrderedBuckets.fit(rows, columns, fine=None)
     values = buckets.long_form(rows, keep=["is_first"])
     by_group = [
         F.sum("is_first").alias("n_first"),
