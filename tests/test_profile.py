@@ -49,13 +49,12 @@ def test_column_names_with_dots(spark):
 
 def test_long_text_is_told_apart(spark):
     long = "x" * 100_000
-    digest = df_digest = None
     df = spark.createDataFrame([(long,), (long + "y",), (long,), ("x" * 64,)], "s string")
     assert distinct_counts(df).first()["distinct"] == 3
     # A short text that looks like the digest of a long one is still its own.
     digest = df.where(F.length("s") == 100_000).select(F.sha2("s", 256)).first()[0]
-    df_digest = df.unionByName(spark.createDataFrame([(digest,), ("sha256:" + digest,)], "s string"))
-    assert distinct_counts(df_digest).first()["distinct"] == 5
+    alike = spark.createDataFrame([(digest,), ("0" * 64,)], "s string")
+    assert distinct_counts(df.unionByName(alike)).first()["distinct"] == 5
 
 
 def test_a_value_in_a_third_of_the_rows(spark):
@@ -63,7 +62,7 @@ def test_a_value_in_a_third_of_the_rows(spark):
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("x")
     )
     got = by_column(profile(df))["x"]
-    assert got["distinct"] == 20_000 + (0 if 7 % 3 else 1)
+    assert got["distinct"] == 20_000  # 7 is among the other values as well
 
 
 def test_more_columns_than_one_batch(spark):
