@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as contract
+from plumbline.plans.checks import checks
+from plumbline.plans.oracles import oracles
 from tests.oracle import connect, spark_rows, sql_rows, sql_types
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = checks()
+ORACLES = oracles()
 
 SQL_NAMES = {
     "string": "VARCHAR",
@@ -26,6 +28,8 @@ def connection(folder):
 
 def test_every_check_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
