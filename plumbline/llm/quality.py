@@ -85,7 +85,7 @@ def fit_weights(
 def score_quality(
     docs: DataFrame,
     weights: Weights,
-    threshold: float = -0.1,
+    threshold: float = -0.08,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -129,7 +129,7 @@ def score_quality(
 
 
 def keep_good(
-    docs: DataFrame, weights: Weights, threshold: float = -0.1, text_column: str = "text"
+    docs: DataFrame, weights: Weights, threshold: float = -0.08, text_column: str = "text"
 ) -> DataFrame:
     """The rows that ``score_quality`` keeps, with all their columns; the test is a filter."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
