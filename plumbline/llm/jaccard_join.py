@@ -24,11 +24,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.common import materialize, maybe_in, ship
+from plumbline.llm.common import few_rows, materialize, maybe_in, ship
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import mix, shingle_sets
 
@@ -112,7 +111,7 @@ def _sets_and_counts(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarra
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
+        for batch in few_rows(batches):
             keys, sizes, waiting = [], [], []
             for found in shingle_sets(batch.column("text").to_pylist(), rule.words):
                 sizes.append(len(found))
@@ -131,15 +130,16 @@ def _sets_and_counts(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarra
             [*none, pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], names=names
         )
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # At most COUNTERS / PART rows for each task, whatever its input.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # At most COUNTERS / PART sums for each task, whatever its input.
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, counts in zip(batch["part"], batch["counts"]):
-                found = np.frombuffer(counts, dtype=np.int64)
-                sums[part] = sums[part] + found if part in sums else found
-        yield pd.DataFrame(
-            {"part": np.array(list(sums), dtype=np.int32), "counts": [s.tobytes() for s in sums.values()]}
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                found = np.frombuffer(counts.as_buffer(), dtype=np.int64)
+                sums[part] = sums[part] + found if part in sums else found.copy()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+            names=["part", "counts"],
         )
 
     both = materialize(
@@ -147,7 +147,7 @@ def _sets_and_counts(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarra
     )
     parts = both.where("part IS NOT NULL").select("part", "counts")
     total = np.zeros(COUNTERS, dtype=np.int64)
-    summed = parts.repartition(COUNTERS // PART, "part").mapInPandas(add, "part int, counts binary")
+    summed = parts.repartition(COUNTERS // PART, "part").mapInArrow(add, "part int, counts binary")
     for part, counts in summed.collect():
         total[part * PART : (part + 1) * PART] = np.frombuffer(counts, dtype=np.int64)
     return both.where("part IS NULL").select("id", "key", "n"), total
@@ -171,29 +171,26 @@ def _joined_prefixes(
     # Frequencies in steps of a hundredth of a doubling, above the hash in one number.
     grade = np.round(np.log2(counts + 1) * 100).astype(np.uint64) << np.uint64(TOKEN_BITS)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    low = np.uint64((1 << TOKEN_BITS) - 1)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
             tokens, keys, sizes, places = [], [], [], []
-            for found in shingle_sets(batch["text"], rule.words):
+            for found in shingle_sets(batch.column("text").to_pylist(), rule.words):
                 if not len(found):
                     continue
-                ranked = np.sort(grade[_bucket(found)] | (found & np.uint64((1 << TOKEN_BITS) - 1)))
-                ranked = ranked[: rule.probing(len(found))]
-                tokens.append((ranked & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64))
+                ranked = np.sort(grade[_bucket(found)] | (found & low))[: rule.probing(len(found))]
+                tokens.append((ranked & low).astype(np.int64))
                 keys.append(np.full(len(ranked), _class_key(found)))
                 sizes.append(np.full(len(ranked), len(found), dtype=np.int32))
                 places.append(np.arange(len(ranked), dtype=np.int32))
             if tokens:
-                yield pd.DataFrame(
-                    {
-                        "token": np.concatenate(tokens),
-                        "key": np.concatenate(keys),
-                        "n": np.concatenate(sizes),
-                        "pos": np.concatenate(places),
-                    }
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in (tokens, keys, sizes, places)],
+                    names=["token", "key", "n", "pos"],
                 )
 
-    rows = texts.where("id IS NOT NULL").mapInPandas(prefixes, "token bigint, key bigint, n int, pos int")
+    rows = texts.where("id IS NOT NULL").mapInArrow(prefixes, "token bigint, key bigint, n int, pos int")
     # Copies send the same rows; size and place are packed to keep the shuffle narrow.
     packed = rows.select("token", "key", F.expr("n * 4294967296L + pos").alias("place"))
     packed = packed.groupBy("token", "key").agg(F.min("place").alias("place"))
@@ -297,15 +294,17 @@ def _verify(texts: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
         .join(few.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     )
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            left = shingle_sets(batch["text_a"], rule.words)
-            right = shingle_sets(batch["text_b"], rule.words)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            left = shingle_sets(batch.column("text_a").to_pylist(), rule.words)
+            right = shingle_sets(batch.column("text_b").to_pylist(), rule.words)
             linked = [_similar(x, y, rule) for x, y in zip(left, right)]
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": np.array(linked, dtype=bool)})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"]
+            )
 
     return (
-        met.mapInPandas(compare, "a bigint, b bigint, linked boolean")
+        met.mapInArrow(compare, "a bigint, b bigint, linked boolean")
         .groupBy("a", "b")
         .agg(F.max("linked").alias("linked"))
     )

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.llm.common import ship
+from plumbline.llm.common import few_rows, ship
 
 UNKNOWN = "und"
 
@@ -88,7 +88,7 @@ def identify(
     names = ["id", "lang_pred", "score", "rejected"]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             found: list[str] = []
             scores, rejected = [], []
             for vectors, letters in _vectors(batch.column("text").to_pylist(), model.settings, model.idf):
@@ -126,7 +126,7 @@ def _document_frequencies(texts: DataFrame, settings: Settings) -> tuple[int, np
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = np.zeros(settings.buckets, dtype=np.int64), 0
-        for batch in batches:
+        for batch in few_rows(batches):
             for counts in _counts(batch.column("text").to_pylist(), settings):
                 held += counts > 0
                 seen += 1

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import UPPER, ship
+from plumbline.llm.common import few_rows, ship, UPPER
 
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -74,7 +74,7 @@ def scan_licenses(
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(block)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = [scanner.scan(text) for text in batch.column("text").to_pylist()]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=names)
@@ -92,7 +92,7 @@ def _frequencies(texts: DataFrame, scan: Scan) -> dict[str, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        for batch in batches:
+        for batch in few_rows(batches):
             for text in batch.column("text").to_pylist():
                 for line in (text or "").translate(_LOWER).split("\n"):
                     total.update(wanted.intersection(_WORDS.findall(line)))

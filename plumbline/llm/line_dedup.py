@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import fresh, materialize, maybe_in, ship
+from plumbline.llm.common import few_rows, fresh, materialize, maybe_in, ship
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def _chunk_rows(chunks: Chunks, with_text: bool | None):
     """The chunks of several lines of each text, for mapInArrow."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, places, first, second, sizes, texts = [], [], [], [], [], []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 for i, lines in enumerate(_split(text, chunks)):

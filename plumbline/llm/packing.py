@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.llm.common import materialize, ship
+from plumbline.llm.common import few_rows, materialize, ship
 from plumbline.llm.packing_plan import plan_packing
 
 ROWS_PER_TASK = 500_000
@@ -105,7 +105,7 @@ def _pieces(packing: Packing):
         encode = encoder(packing.tokenizer)
         end = np.array([packing.end_id], dtype="<u4").tobytes()
         capacity = packing.capacity
-        for batch in batches:
+        for batch in few_rows(batches):
             docs, places, starts, lengths, sums = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(text or "") + end

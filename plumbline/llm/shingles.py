@@ -15,7 +15,7 @@ _LOWER[65:91] += 32
 _VALUE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
