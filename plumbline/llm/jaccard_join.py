@@ -11,8 +11,8 @@ hash bucket over all documents, which has a fixed size, and then the hash.
 Copies and clusters of near copies are kept from meeting in all pairs:
 
 * documents with equal sets are one class, joined once;
-* merging rounds verify each class against one member per shared shingle only,
-  and link what is similar;
+* merging rounds verify each class against a few members per shared shingle
+  only, and link what is similar;
 * the last join takes every remaining pair that shares a prefix shingle, but
   only between classes that are not connected yet. A link inside a component
   would not change it.
@@ -31,11 +31,11 @@ from plumbline.llm.common import few_rows, materialize, maybe_in, ship
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import mix, shingle_sets
 
-COUNTERS = 1 << 18  # of the table that orders shingles
-PART = 1 << 12  # counters in a row on their way to the sum
+COUNTERS = 1 << 22  # of the table that orders shingles, 16 MB
+PART = 1 << 16  # counters in a row on their way to the sum
 TOKEN_BITS = 48
 MERGING_ROUNDS = 2
-BLOCKS = 16  # a frequent shingle's members are merged in so many blocks
+CENTERS = 8  # so many members of each shingle are tried in a merging round
 
 
 @dataclass(frozen=True)
@@ -57,12 +57,12 @@ class Rule:
         return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
 
     def possible(self) -> Column:
-        """Length and position filter for columns n_a, pos_a, n_b, pos_b, if a is no larger.
+        """Length and position filter for columns n_a, pos_a, n_b, pos_b.
 
         True for the first shingle, in the global order, that two linked sets share.
         """
         return F.expr(
-            f"100L * n_a >= {self.percent}L * n_b AND "
+            f"100L * least(n_a, n_b) >= {self.percent}L * greatest(n_a, n_b) AND "
             f"{100 + self.percent}L * least(n_a - pos_a, n_b - pos_b) >= {self.percent}L * (n_a + n_b)"
         )
 
@@ -83,14 +83,14 @@ def near_duplicates(
     texts = docs.select(
         F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")
     )
-    sets, counts = _sets_and_counts(texts, rule)
+    sets, grades = _sets_and_grades(texts, rule)
     classes = (
         sets.where("n > 0 AND id IS NOT NULL")
         .groupBy("key")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     )
     classes = materialize(classes)
-    joined = _joined_prefixes(texts, counts, rule, classes)
+    joined = _joined_prefixes(texts, grades, rule, classes)
     components = _components(texts, joined, rule)
     # Documents of one class may carry an id that stands elsewhere as well.
     labelled = (
@@ -105,26 +105,26 @@ def near_duplicates(
     )
 
 
-def _sets_and_counts(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
-    """One row per document with its class key and set size; counts of shingles by bucket."""
+def _sets_and_grades(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
+    """One row per document with its class key and set size; frequencies of shingles by bucket."""
     names = ["id", "key", "n", "part", "counts"]
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in few_rows(batches):
             keys, sizes, waiting = [], [], []
             for found in shingle_sets(batch.column("text").to_pylist(), rule.words):
                 sizes.append(len(found))
                 keys.append(_class_key(found))
                 waiting.append(_bucket(found))
-            total += np.bincount(np.concatenate([[], *waiting]).astype(np.int64), minlength=COUNTERS)
+            np.add.at(total, np.concatenate([np.zeros(0, np.int64), *waiting]), np.uint32(1))
             nothing = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), *nothing],
                 names=names,
             )
         parts = [i for i in range(COUNTERS // PART) if total[i * PART : (i + 1) * PART].any()]
-        counts = [total[i * PART : (i + 1) * PART].tobytes() for i in parts]
+        counts = [pa.compress(total[i * PART : (i + 1) * PART].tobytes(), "zstd", asbytes=True) for i in parts]
         none = [pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.int32())]
         yield pa.RecordBatch.from_arrays(
             [*none, pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], names=names
@@ -135,10 +135,10 @@ def _sets_and_counts(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarra
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                found = np.frombuffer(counts.as_buffer(), dtype=np.int64)
-                sums[part] = sums[part] + found if part in sums else found.copy()
+                found = np.frombuffer(pa.decompress(counts.as_buffer(), 4 * PART, "zstd"), dtype=np.uint32)
+                sums[part] = sums[part] + found if part in sums else found.astype(np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+            [pa.array(list(sums), pa.int32()), pa.array([_grade(x).tobytes() for x in sums.values()], pa.binary())],
             names=["part", "counts"],
         )
 
@@ -146,13 +146,18 @@ def _sets_and_counts(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarra
         texts.mapInArrow(summarize, "id bigint, key bigint, n int, part int, counts binary")
     )
     parts = both.where("part IS NOT NULL").select("part", "counts")
-    total = np.zeros(COUNTERS, dtype=np.int64)
+    total = np.zeros(COUNTERS, dtype=np.uint16)
     summed = parts.repartition(COUNTERS // PART, "part").mapInArrow(add, "part int, counts binary")
     for part, counts in summed.collect():
-        total[part * PART : (part + 1) * PART] = np.frombuffer(counts, dtype=np.int64)
+        total[part * PART : (part + 1) * PART] = np.frombuffer(counts, dtype=np.uint16)
     return both.where("part IS NULL").select("id", "key", "n"), total
 
 
+def _grade(counts: np.ndarray) -> np.ndarray:
+    """Frequencies in steps of a hundredth of a doubling."""
+    return np.round(np.log2(counts.astype(float) + 1) * 100).astype(np.uint16)
+
+
 def _class_key(found: np.ndarray) -> int:
     """A 64-bit digest of a set."""
     place = np.arange(1, len(found) + 1, dtype=np.uint64)
@@ -165,11 +170,9 @@ def _bucket(found: np.ndarray) -> np.ndarray:
 
 
 def _joined_prefixes(
-    texts: DataFrame, counts: np.ndarray, rule: Rule, classes: DataFrame
+    texts: DataFrame, grades: np.ndarray, rule: Rule, classes: DataFrame
 ) -> DataFrame:
     """Rows (token, rep, n, pos, indexed) of the prefix shingles that two classes or more share."""
-    # Frequencies in steps of a hundredth of a doubling, above the hash in one number.
-    grade = np.round(np.log2(counts + 1) * 100).astype(np.uint64) << np.uint64(TOKEN_BITS)
 
     low = np.uint64((1 << TOKEN_BITS) - 1)
 
@@ -179,7 +182,9 @@ def _joined_prefixes(
             for found in shingle_sets(batch.column("text").to_pylist(), rule.words):
                 if not len(found):
                     continue
-                ranked = np.sort(grade[_bucket(found)] | (found & low))[: rule.probing(len(found))]
+                # The frequency above the hash in one number.
+                grade = grades[_bucket(found)].astype(np.uint64) << np.uint64(TOKEN_BITS)
+                ranked = np.sort(grade | (found & low))[: rule.probing(len(found))]
                 tokens.append((ranked & low).astype(np.int64))
                 keys.append(np.full(len(ranked), _class_key(found)))
                 sizes.append(np.full(len(ranked), len(found), dtype=np.int32))
@@ -214,7 +219,8 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule) -> DataFrame:
     """Rows (node, component) of the classes that are linked with another."""
     components = None
     verified = links = None
-    for last in [*[False] * MERGING_ROUNDS, True]:
+    for turn in range(MERGING_ROUNDS + 1):
+        last = turn == MERGING_ROUNDS
         rows = joined.withColumn("component", F.col("rep"))
         if components is not None:
             rows = (
@@ -228,7 +234,7 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule) -> DataFrame:
                 .where("low != high")
             )
             rows = materialize(rows.join(open_.select("token"), "token", "left_semi"))
-        pairs = _all_pairs(rows, rule) if last else _star_pairs(rows, rule)
+        pairs = _all_pairs(rows, rule) if last else _star_pairs(rows, rule, turn)
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
@@ -245,17 +251,18 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule) -> DataFrame:
     return components
 
 
-def _star_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Each class with the smallest of its shingle, by blocks of the shingle's members."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("component"), F.lit(BLOCKS)))
-    crowded = rows.groupBy("token").agg(F.count("*").alias("members"))
-    # Few members are one block.
-    rows = rows.join(crowded.where(f"members > {BLOCKS * BLOCKS}"), "token", "left").withColumn(
-        "block", F.when(F.col("members").isNotNull(), F.col("block")).otherwise(F.lit(0))
-    )
-    fields = F.struct("n", "rep", "pos", "component")
-    centers = rows.groupBy("token", "block").agg(F.min(fields).alias("center"))
-    pairs = rows.join(centers, ["token", "block"]).where("component != center.component").select(
+def _star_pairs(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
+    """Each class with a few of the classes that share a shingle with it.
+
+    These few come first among the shingle's members in as many hash orders of
+    all classes, other ones each turn. The orders are the same for all
+    shingles, so that near copies, which share many, mostly meet the same ones.
+    """
+    seeds = F.array(*[F.lit(turn * CENTERS + i) for i in range(CENTERS)])
+    seen = rows.withColumn("seed", F.explode(seeds))
+    fields = F.struct(F.xxhash64("rep", "seed"), "rep", "n", "pos", "component")
+    centers = seen.groupBy("token", "seed").agg(F.min(fields).alias("center"))
+    pairs = rows.join(centers, "token").where("component != center.component").select(
         F.col("center.rep").alias("small"),
         F.col("rep").alias("large"),
         F.col("center.n").alias("n_a"),
