@@ -1,0 +1,40 @@
+"""The pipeline stage by stage, and every registered query on the smallest tables."""
+
+import pytest
+
+import corpus_pipeline
+from plumbline.llm.common import materialize
+from plumbline.llm.queries import queries
+from tests.llm.data import DOCS, documents
+
+
+def test_stages_keep_the_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = materialize(stage(spark, docs, folder))
+        if i < 4:
+            assert docs.columns == columns
+        if i < 3:
+            ids = [r.doc_id for r in docs.select("doc_id").collect()]
+            assert len(ids) == len(set(ids)) <= before
+        if name == "line_dedup":
+            assert len(ids) == before
+        before = docs.count()
+    assert docs.where("length > 1024").count() == 0 and before > 0
+
+
+def test_stages_on_awkward_and_empty_tables(spark, folder):
+    for rows in (documents(), []):
+        docs = spark.createDataFrame(rows, DOCS)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, folder))
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query_runs(spark, folder, name):
+    df = queries()[name](spark, folder)
+    assert df.count() > 0
+    table = "pages" if name in ("op5_main_text", "op6_url_filter") else "documents"
+    if name not in ("op4_packing", "op8_nearest", "pipeline"):
+        assert df.count() == spark.read.parquet(f"{folder}/{table}.parquet").count()
