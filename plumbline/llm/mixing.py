@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.llm.common import WORD, fresh, materialize, words_of
 
-RANGES = 65_536
+RANGES = 4_096
 
 
 @dataclass(frozen=True)
