@@ -155,8 +155,8 @@ def judge_urls(
     universe = materialize(keyed.select(F.explode("keys").alias("key")).distinct())
     lists = {}
     for verdict in ("block", "allow"):
-        own = [(r.key,) for r in rules if r.verdict == verdict]
-        lists[verdict] = build_cascade(spark.createDataFrame(own, "key string"), universe)
+        own = F.array(*[F.lit(r.key) for r in rules if r.verdict == verdict]).cast("array<string>")
+        lists[verdict] = build_cascade(spark.range(1).select(F.explode(own).alias("key")), universe)
 
     def listed(key: Column) -> Column:
         return lists["block"].holds(key) | lists["allow"].holds(key)
