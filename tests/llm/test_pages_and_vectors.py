@@ -102,7 +102,7 @@ def test_nearest_recall(spark, folder):
     table = spark.read.parquet(f"{folder}/embeddings.parquet")
     vectors = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in table.collect()]
     expected = exact(vectors, 20)
-    found = ann.nearest(table, forest=ann.Forest(meet=1500)).collect()
+    found = ann.nearest(table, forest=ann.Forest(meet=1.5)).collect()
     hits = sum(r.vec_id in {j for j, _ in expected[r.query_id]} for r in found)
     assert hits >= 0.9 * sum(map(len, expected.values()))
     by_id = dict(vectors)
@@ -132,6 +132,6 @@ def test_nearest_searches_large_leaves_in_parts(spark):
     random = np.random.default_rng(4)
     rows = [(i, [float(x) for x in random.normal(size=6)]) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    found = ann.nearest(df, k=5, forest=ann.Forest(trees=2, leaf=500, rows_per_part=50)).collect()
+    found = ann.nearest(df, k=5, forest=ann.Forest(trees=2, leaf=1.0, rows_per_part=50)).collect()
     expected = exact([(i, np.array(v)) for i, v in rows], 5)
     assert {(r.query_id, r["rank"], r.vec_id) for r in found} == {(q, k + 1, j) for q, best in expected.items() for k, (j, _) in enumerate(best)}
