@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions.columns import col, present
 
 
+SALTS = 64
+
+
 def category_shares(df: DataFrame, level: str, group: str) -> DataFrame:
     """Rows (``level``, ``group``, ``n``, ``share``) for the pairs that occur.
 
@@ -17,7 +20,11 @@ def category_shares(df: DataFrame, level: str, group: str) -> DataFrame:
         _pairs(df, level, group).groupBy("level", "group").agg(F.count("*").alias("n"))
     )
     totals = counts.groupBy("group").agg(F.sum("n").alias("total"))
-    return counts.join(totals, "group").select(
+    # A group may have nearly all levels: it is dealt out by level as well.
+    salts = F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))
+    salted = totals.select("group", "total", salts.alias("salt"))
+    counts = counts.withColumn("salt", F.pmod(F.xxhash64("level"), F.lit(SALTS)))
+    return counts.join(salted, ["group", "salt"]).select(
         "level", "group", "n", (F.col("n") / F.col("total")).alias("share")
     )
 

@@ -2,45 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
-from plumbline.functions.buckets import OrderedBuckets
-from plumbline.functions.columns import col
+from plumbline.functions.columns import col, present
 from plumbline.functions.times import interval_micros
 
-ROWS_PER_TASK = 2_000_000
-
 
 def order_gaps(
-    df: DataFrame, entity: str, order: str, time: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, entity: str, order: str, time: str, parts: int | None = None
 ) -> DataFrame:
     """Per entity: how ``time`` moves when its rows are read in ``order``.
 
     Rows (entity, ``rows``, ``gaps``, ``backward_steps``, ``shortest_gap_us``,
-    ``longest_gap_us``); a backward step is a negative gap. ``order`` is
-    numeric, ``time`` a timestamp; equal ``order`` values are read by ``time``.
-    Rows where one of the three is missing have no place and are left out.
-
-    An entity with more than ``rows_per_task`` rows is cut into consecutive
-    chunks of ``order``. Gaps are taken inside each chunk, and the first and
-    last time of each chunk give the gaps across its borders, so no task has to
-    hold one entity. Whether there are such entities is counted when the
-    function is called.
+    ``longest_gap_us``); a backward step is a negative gap. ``order`` is of any
+    type that can be sorted, ``time`` a timestamp or a date; equal ``order``
+    values are read by ``time``. Rows where one of the three is missing (NULL or
+    NaN) have no place and are left out.
+
+    The rows are sorted by entity, order and time and cut into ``parts`` ranges
+    of like size (by default as many as shuffle partitions), wherever an entity
+    begins or ends. Gaps are taken inside each range, and the first and last
+    time of an entity's part give the gaps across the cuts, so no task has to
+    hold one entity.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    when = col(time)
+    if isinstance(df.schema[time].dataType, T.DateType):
+        when = when.cast("timestamp_ntz")
     rows = df.select(
-        col(entity).alias("entity"), col(order).alias("order"), col(time).alias("time")
+        present(df, entity).alias("entity"), present(df, order).alias("order"), when.alias("time")
     ).where("entity IS NOT NULL AND order IS NOT NULL AND time IS NOT NULL")
-    # At most (number of rows / rows_per_task) of them.
-    large = (
-        rows.groupBy("entity")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > rows_per_task)
-        .select("entity")
-    )
-    if large.isEmpty():
-        chunked = rows.withColumn("chunk", F.lit(0).cast("bigint"))
-    else:
-        chunked = _chunks(rows, large)
+    ranged = rows.repartitionByRange(parts, "entity", "order", "time")
+    # The number of a range follows the order of its rows.
+    chunked = ranged.withColumn("chunk", F.spark_partition_id())
 
     chunks = _with_gap(chunked, Window.partitionBy("entity", "chunk").orderBy("order", "time"))
     position = F.struct("order", "time")
@@ -53,7 +47,7 @@ def order_gaps(
         F.min_by("time", position).alias("first"),
         F.max_by("time", position).alias("last"),
     )
-    # As many rows per entity as there are buckets, which is bounded.
+    # At most one row per entity and range.
     in_entity = Window.partitionBy("entity").orderBy("chunk")
     bordered = chunks.withColumn("gap", F.col("first") - F.lag("last").over(in_entity))
     return (
@@ -77,11 +71,11 @@ def order_gaps(
 
 
 def order_summary(
-    df: DataFrame, entity: str, order: str, time: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, entity: str, order: str, time: str, parts: int | None = None
 ) -> DataFrame:
     """``order_gaps`` over all entities, in one row."""
     zero = F.lit(0).cast("bigint")
-    return order_gaps(df, entity, order, time, rows_per_task).agg(
+    return order_gaps(df, entity, order, time, parts).agg(
         F.count("*").alias("entities"),
         F.coalesce(F.sum("rows"), zero).alias("rows"),
         F.coalesce(F.sum("gaps"), zero).alias("gaps"),
@@ -91,19 +85,6 @@ def order_summary(
     )
 
 
-def _chunks(rows: DataFrame, large: DataFrame) -> DataFrame:
-    """Large entities cut by the buckets of ``order``, all others left whole."""
-    cut = rows.join(F.broadcast(large), "entity", "left_semi")
-    buckets = OrderedBuckets.fit(cut, ["order"])
-    placed = buckets.long_form(cut, keep=["entity", "order", "time"]).select(
-        "entity", "order", "time", F.col("bucket").alias("chunk")
-    )
-    whole = rows.join(F.broadcast(large), "entity", "left_anti").withColumn(
-        "chunk", F.lit(0).cast("bigint")
-    )
-    return whole.unionByName(placed)
-
-
 def _with_gap(rows: DataFrame, neighbours: WindowSpec) -> DataFrame:
     return rows.withColumn("gap", F.col("time") - F.lag("time").over(neighbours))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import batches, is_text, kind_of, number_columns, present
 from plumbline.operators.selection import quantiles
@@ -37,7 +37,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
     """Rows, missing values, distinct values, extremes, mean, sd and quartiles.
 
     Numeric columns fill the number fields; text, time and boolean columns fill
-    ``min_text`` and ``max_text``. NaN counts as missing. ``sd`` is the sample
+    ``min_text`` and ``max_text``, as do whole numbers and decimals, with all
+    their digits. NaN counts as missing. ``sd`` is the sample
     standard deviation.
 
     With ``exact=False`` distinct counts and quartiles are estimates, and the
@@ -80,9 +81,17 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def _comparable(df: DataFrame, name: str) -> Column:
     data_type = df.schema[name].dataType
     value = present(df, name)
-    if kind_of(data_type) == "other" and data_type.typeName() != "binary":
-        value = F.when(value.isNotNull(), F.to_json(F.struct(value.alias("value"))))
-    elif not is_text(data_type):
+    if isinstance(data_type, T.MapType):
+        # Equal maps have equal entries, in whatever order.
+        value, data_type = F.array_sort(F.map_entries(value)), T.ArrayType(
+            T.StructType().add("key", data_type.keyType).add("value", data_type.valueType)
+        )
+    if "map<" in data_type.simpleString():
+        # Maps inside can't be grouped; their text has every digit of a time.
+        micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+        formats = {"timestampFormat": micros, "timestampNTZFormat": micros}
+        return F.when(value.isNotNull(), F.sha2(F.to_json(F.struct(value.alias("value")), formats), 256))
+    if not is_text(data_type) and data_type.typeName() != "binary":
         return value
     digest = F.concat(F.lit("sha256:"), F.sha2(value, 256))
     return F.when(F.length(value) > LONGEST_PLAIN_TEXT, digest).otherwise(value)
@@ -118,6 +127,13 @@ def _facts(df: DataFrame, columns: Sequence[str], exact: bool) -> DataFrame:
                 "mean": F.avg(number),
                 "sd": F.stddev_samp(number),
             }
+            # A double can't hold every digit of whole numbers and decimals.
+            inexact = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+            exact_value = F.lit(None) if inexact else value
+            found |= {
+                "min_text": F.min(exact_value).cast("string"),
+                "max_text": F.max(exact_value).cast("string"),
+            }
         elif kind == "other":
             found = dict.fromkeys(("min_text", "max_text"), F.max(F.lit(None).cast("string")))
         else:

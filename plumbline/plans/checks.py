@@ -9,15 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline import operators as op
 from plumbline.functions.columns import col
-from plumbline.operators.ordering import ROWS_PER_TASK
 from plumbline.plans.catalog import COLUMNS, EDGES, KEYS, RULES, UNUSED
 from plumbline.sources.tables import read_table
 
 Check = Callable[[SparkSession, str], DataFrame]
 
-NARROW = 5_000  # makes quantiles narrow their ranges on small tables too
-CHUNKED = 10  # makes order checks cut their entities on small tables too
-
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded, for comparing results of different summation orders."""
@@ -44,7 +40,7 @@ def _quantiles_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     lineitem = read_table(spark, folder, "lineitem")
     deciles = [i / 10 for i in range(11)]
     columns = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"]
-    return rounded(op.quantiles(lineitem, columns, deciles, rows_per_task=NARROW))
+    return rounded(op.quantiles(lineitem, columns, deciles))
 
 
 def _quantiles_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,16 +121,16 @@ EVENT_ORDER = ("events", "user_id", "event_id", "ts")
 ORDER_ORDER = ("orders", "o_custkey", "o_orderkey", "o_orderdate")
 
 
-def _order_gaps(where, rows_per_task: int, spark: SparkSession, folder: str) -> DataFrame:
+def _order_gaps(where, spark: SparkSession, folder: str) -> DataFrame:
     table, entity, order, time = where
     df = read_table(spark, folder, table)
-    return op.order_gaps(df, entity, order, time, rows_per_task)
+    return op.order_gaps(df, entity, order, time)
 
 
-def _order_summary(where, rows_per_task: int, spark: SparkSession, folder: str) -> DataFrame:
+def _order_summary(where, spark: SparkSession, folder: str) -> DataFrame:
     table, entity, order, time = where
     df = read_table(spark, folder, table)
-    return op.order_summary(df, entity, order, time, rows_per_task)
+    return op.order_summary(df, entity, order, time)
 
 
 def _report(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,9 +221,9 @@ def checks() -> dict[str, Check]:
         "correlations_events": partial(
             _correlations, "events", ["value", "user_id", "event_id"]
         ),
-        "order_gaps_events": partial(_order_gaps, EVENT_ORDER, ROWS_PER_TASK),
-        "order_gaps_orders": partial(_order_gaps, ORDER_ORDER, CHUNKED),
-        "order_summary_events": partial(_order_summary, EVENT_ORDER, ROWS_PER_TASK),
-        "order_summary_orders": partial(_order_summary, ORDER_ORDER, CHUNKED),
+        "order_gaps_events": partial(_order_gaps, EVENT_ORDER),
+        "order_gaps_orders": partial(_order_gaps, ORDER_ORDER),
+        "order_summary_events": partial(_order_summary, EVENT_ORDER),
+        "order_summary_orders": partial(_order_summary, ORDER_ORDER),
         "report": _report,
     }

@@ -24,6 +24,8 @@ def _profile_column(table: str, name: str, kind: str, digits: int = 4) -> str:
         return value
 
     def txt(expr: str) -> str:
+        if number:  # all but floating-point numbers
+            return f"CASE WHEN any_value(typeof({name})) NOT IN ('DOUBLE', 'FLOAT') THEN CAST({expr} AS VARCHAR) END"
         return f"CAST({expr} AS VARCHAR)" if text else "CAST(NULL AS VARCHAR)"
 
     return f"""SELECT {_text(name)} AS "column", '{KINDS[kind]}' AS kind,

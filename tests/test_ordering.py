@@ -44,20 +44,41 @@ def rows():
     return made + [("alone", 5, START)]
 
 
-@pytest.mark.parametrize("rows_per_task", [1, 20, 500, 10**6])
-def test_against_sorted_rows(spark, rows, rows_per_task):
+@pytest.mark.parametrize("parts", [None, 1, 7, 60])
+def test_against_sorted_rows(spark, rows, parts):
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
-    got = order_gaps(df, "who", "at", "ts", rows_per_task)
+    got = order_gaps(df, "who", "at", "ts", parts)
     assert got.columns[0] == "who"
     assert collected(got) == by_hand(rows)
 
 
 def test_large_entities_are_spread(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    plan = order_gaps(df, "who", "at", "ts", 500)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(entity" in plan and "chunk" in plan
-    whole = order_gaps(df, "who", "at", "ts")._jdf.queryExecution().executedPlan().toString()
-    assert "bucketizer" not in whole.lower() and "bucketizer" in plan.lower()
+    plan = order_gaps(df, "who", "at", "ts", 9)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(entity" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("kind", ["double", "string", "date", "timestamp", "timestamp_ntz"])
+def test_order_of_any_type(spark, kind, parts):
+    made = spark.range(200).select(
+        F.lit("a").alias("who"),
+        F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, cast(id % 90 as int))").alias("day"),
+        F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id as int))").alias("ts"),
+        "id",
+    )
+    at = {"double": F.expr("if(id % 10 = 0, double('NaN'), id / 3)"), "string": F.format_string("%05d", "id")}
+    df = made.withColumn("at", at.get(kind, F.col("day").cast(kind) if kind not in at else None))
+    rows = 180 if kind == "double" else 200
+    got = collected(order_gaps(df, "who", "at", "ts", parts))["a"]
+    assert got[:2] == (rows, rows - 1)
+    assert got == collected(order_gaps(df, "who", "at", "ts", 40))["a"]
+
+
+def test_dates_as_time(spark):
+    df = spark.sql("SELECT 'a' AS who, id AS at, date_add(date'2024-01-01', cast(id as int)) AS ts FROM range(5)")
+    day = 86_400_000_000
+    assert collected(order_gaps(df, "who", "at", "ts")) == {"a": (5, 4, 0, day, day)}
 
 
 def test_rows_without_a_place_are_left_out(spark):

@@ -89,3 +89,16 @@ def test_estimates_are_close(tables):
 def test_estimates_do_not_shuffle_values(tables):
     plan = profile(tables("lineitem"), exact=False)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_" not in plan
+
+
+@pytest.mark.parametrize("shape", ["array(t)", "struct(t)", "map('a', t)", "array(struct(map('a', t)))"])
+def test_nested_times_are_told_apart(spark, shape):
+    df = spark.range(1000).selectExpr("timestamp_micros(id) AS t").selectExpr(f"{shape} AS x")
+    assert by_column(profile(df.union(df)))["x"]["distinct"] == 1000
+
+
+def test_extremes_of_large_numbers(spark):
+    df = spark.sql("SELECT id + 9007199254740993 AS x, cast(id + 0.12 as decimal(30, 2)) AS y, id * 0.5D AS z FROM range(3)")
+    got = by_column(profile(df))
+    assert (got["x"]["min_text"], got["x"]["max_text"]) == ("9007199254740993", "9007199254740995")
+    assert (got["y"]["min_text"], got["z"]["min_text"]) == ("0.12", None)
