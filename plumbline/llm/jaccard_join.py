@@ -34,7 +34,8 @@ from plumbline.llm.shingles import mix, shingle_sets
 COUNTERS = 1 << 22  # of the table that orders shingles, 16 MB
 PART = 1 << 16  # counters in a row on their way to the sum
 TOKEN_BITS = 48
-MERGING_ROUNDS = 2
+MERGING_ROUNDS = 4
+SIGNATURE = ("s0", "s1", "s2", "s3")  # 256 bits of each set
 CENTERS = 8  # so many members of each shingle are tried in a merging round
 
 
@@ -57,13 +58,17 @@ class Rule:
         return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
 
     def possible(self) -> Column:
-        """Length and position filter for columns n_a, pos_a, n_b, pos_b.
+        """Length, position and suffix filter for columns n, pos and s0 to s3 of a and b.
+
+        Two sets differ in as many shingles at least as their signatures in bits.
 
         True for the first shingle, in the global order, that two linked sets share.
         """
         return F.expr(
             f"100L * least(n_a, n_b) >= {self.percent}L * greatest(n_a, n_b) AND "
-            f"{100 + self.percent}L * least(n_a - pos_a, n_b - pos_b) >= {self.percent}L * (n_a + n_b)"
+            f"{100 + self.percent}L * least(n_a - pos_a, n_b - pos_b) >= {self.percent}L * (n_a + n_b) AND "
+            "bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) + bit_count(s2_a ^ s2_b) + bit_count(s3_a ^ s3_b) <= "
+            f"n_a + n_b - 2 * (({self.percent}L * (n_a + n_b) + {99 + self.percent}L) div {100 + self.percent}L)"
         )
 
 
@@ -87,7 +92,7 @@ def near_duplicates(
     classes = (
         sets.where("n > 0 AND id IS NOT NULL")
         .groupBy("key")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+        .agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in SIGNATURE])
     )
     classes = materialize(classes)
     joined = _joined_prefixes(texts, grades, rule, classes)
@@ -107,25 +112,33 @@ def near_duplicates(
 
 def _sets_and_grades(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
     """One row per document with its class key and set size; frequencies of shingles by bucket."""
-    names = ["id", "key", "n", "part", "counts"]
+    names = ["id", "key", "n", *SIGNATURE, "part", "counts"]
+    schema = "id bigint, key bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, part int, counts binary"
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in few_rows(batches):
-            keys, sizes, waiting = [], [], []
+            keys, sizes, waiting, signatures = [], [], [], []
             for found in shingle_sets(batch.column("text").to_pylist(), rule.words):
                 sizes.append(len(found))
                 keys.append(_class_key(found))
                 waiting.append(_bucket(found))
+                signatures.append(_signature(found))
             np.add.at(total, np.concatenate([np.zeros(0, np.int64), *waiting]), np.uint32(1))
             nothing = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), *nothing],
+                [
+                    batch.column("id"),
+                    pa.array(keys, pa.int64()),
+                    pa.array(sizes, pa.int32()),
+                    *[pa.array(c, pa.int64()) for c in zip(*signatures)],
+                    *nothing,
+                ],
                 names=names,
             )
         parts = [i for i in range(COUNTERS // PART) if total[i * PART : (i + 1) * PART].any()]
         counts = [pa.compress(total[i * PART : (i + 1) * PART].tobytes(), "zstd", asbytes=True) for i in parts]
-        none = [pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.int32())]
+        none = [pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4)]
         yield pa.RecordBatch.from_arrays(
             [*none, pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], names=names
         )
@@ -143,14 +156,20 @@ def _sets_and_grades(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarra
         )
 
     both = materialize(
-        texts.mapInArrow(summarize, "id bigint, key bigint, n int, part int, counts binary")
+        texts.mapInArrow(summarize, schema)
     )
     parts = both.where("part IS NOT NULL").select("part", "counts")
     total = np.zeros(COUNTERS, dtype=np.uint16)
     summed = parts.repartition(COUNTERS // PART, "part").mapInArrow(add, "part int, counts binary")
     for part, counts in summed.collect():
         total[part * PART : (part + 1) * PART] = np.frombuffer(counts, dtype=np.uint16)
-    return both.where("part IS NULL").select("id", "key", "n"), total
+    return both.where("part IS NULL").select("id", "key", "n", *SIGNATURE), total
+
+
+def _signature(found: np.ndarray) -> list[int]:
+    """For each of 256 parts of all shingles whether the set holds an odd number of it."""
+    odd = np.bincount(((found >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _grade(counts: np.ndarray) -> np.ndarray:
@@ -201,7 +220,7 @@ def _joined_prefixes(
     packed = packed.groupBy("token", "key").agg(F.min("place").alias("place"))
     shared = packed.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
     kept = packed.join(shared.select("token"), "token", "left_semi")
-    known = classes.select("key", "rep")
+    known = classes.select("key", "rep", *SIGNATURE)
     share = 2 * rule.percent
     return materialize(
         kept.join(known, "key")
@@ -210,6 +229,7 @@ def _joined_prefixes(
             "rep",
             F.shiftright("place", 32).cast("int").alias("n"),
             F.expr("cast(place & 4294967295L as int)").alias("pos"),
+            *SIGNATURE,
         )
         .withColumn("indexed", F.expr(f"pos < n - (({share} * n + {99 + rule.percent}) div {100 + rule.percent}) + 1"))
     )
@@ -219,8 +239,11 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule) -> DataFrame:
     """Rows (node, component) of the classes that are linked with another."""
     components = None
     verified = links = None
+    merging = True
     for turn in range(MERGING_ROUNDS + 1):
         last = turn == MERGING_ROUNDS
+        if not (last or merging):
+            continue
         rows = joined.withColumn("component", F.col("rep"))
         if components is not None:
             rows = (
@@ -239,9 +262,15 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule) -> DataFrame:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         if pairs.isEmpty():
+            merging = False
             continue
         found = materialize(_verify(texts, pairs, rule))
         now = found.where("linked").select("a", "b")
+        if now.isEmpty():
+            # Nothing left that a few members could merge.
+            merging = False
+            verified = found.select("a", "b") if verified is None else verified.unionByName(found.select("a", "b"))
+            continue
         links = now if links is None else links.unionByName(now)
         tried = found.select("a", "b")
         verified = tried if verified is None else verified.unionByName(tried)
@@ -260,7 +289,7 @@ def _star_pairs(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
     """
     seeds = F.array(*[F.lit(turn * CENTERS + i) for i in range(CENTERS)])
     seen = rows.withColumn("seed", F.explode(seeds))
-    fields = F.struct(F.xxhash64("rep", "seed"), "rep", "n", "pos", "component")
+    fields = F.struct(F.xxhash64("rep", "seed"), "rep", "n", "pos", "component", *SIGNATURE)
     centers = seen.groupBy("token", "seed").agg(F.min(fields).alias("center"))
     pairs = rows.join(centers, "token").where("component != center.component").select(
         F.col("center.rep").alias("small"),
@@ -269,6 +298,8 @@ def _star_pairs(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
         F.col("center.pos").alias("pos_a"),
         F.col("n").alias("n_b"),
         F.col("pos").alias("pos_b"),
+        *[F.col(f"center.{c}").alias(f"{c}_a") for c in SIGNATURE],
+        *[F.col(c).alias(f"{c}_b") for c in SIGNATURE],
     )
     return _distinct_pairs(pairs.where(rule.possible()))
 
@@ -278,7 +309,7 @@ def _all_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
 
     def side(name: str) -> DataFrame:
         return rows.select(
-            "token", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "pos", "component", "indexed")]
+            "token", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "pos", "component", "indexed", *SIGNATURE)]
         )
 
     smaller = "(n_a < n_b OR (n_a = n_b AND rep_a < rep_b))"
