@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -287,19 +289,18 @@ def _star_pairs(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
     all classes, other ones each turn. The orders are the same for all
     shingles, so that near copies, which share many, mostly meet the same ones.
     """
-    seeds = F.array(*[F.lit(turn * CENTERS + i) for i in range(CENTERS)])
-    seen = rows.withColumn("seed", F.explode(seeds))
-    fields = F.struct(F.xxhash64("rep", "seed"), "rep", "n", "pos", "component", *SIGNATURE)
-    centers = seen.groupBy("token", "seed").agg(F.min(fields).alias("center"))
-    pairs = rows.join(centers, "token").where("component != center.component").select(
-        F.col("center.rep").alias("small"),
-        F.col("rep").alias("large"),
-        F.col("center.n").alias("n_a"),
-        F.col("center.pos").alias("pos_a"),
-        F.col("n").alias("n_b"),
-        F.col("pos").alias("pos_b"),
-        *[F.col(f"center.{c}").alias(f"{c}_a") for c in SIGNATURE],
-        *[F.col(c).alias(f"{c}_b") for c in SIGNATURE],
+    orders = [F.hash("rep", F.lit(turn * CENTERS + i)) for i in range(CENTERS)]
+    members = rows.select("token", "rep", "n", "pos", "component", *SIGNATURE)
+    least = rows.groupBy("token").agg(*[F.min(order).alias(f"least_{i}") for i, order in enumerate(orders)])
+    first = reduce(or_, [order == F.col(f"least_{i}") for i, order in enumerate(orders)])
+    centers = members.join(least, "token").where(first).select(
+        "token", *[F.col(c).alias(f"{c}_a") for c in members.columns if c != "token"]
+    )
+    pairs = (
+        members.select("token", *[F.col(c).alias(f"{c}_b") for c in members.columns if c != "token"])
+        .join(centers, "token")
+        .where("component_a != component_b")
+        .withColumns({"small": F.col("rep_a"), "large": F.col("rep_b")})
     )
     return _distinct_pairs(pairs.where(rule.possible()))
 
