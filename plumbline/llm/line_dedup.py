@@ -2,8 +2,9 @@
 
 A rolling hash over the hashes of neighbouring lines chooses where a chunk
 ends, so a passage is cut alike wherever it stands, some lines after its start.
-Chunks of several lines that occur again in the corpus are removed but for
-their first occurrence, once their bytes have been compared.
+A line as long as a passage is a chunk of its own. Chunks of several lines, and
+such passages, that occur again in the corpus are removed but for their first
+occurrence, once their bytes have been compared.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from plumbline.llm.common import few_rows, fresh, materialize, maybe_in, ship
 class Chunks:
     """A chunk ends after a line where the hash of the last ``window`` lines is divisible by ``divisor``.
 
-    It has ``least`` lines at least, where the text goes on, and ``most`` at
-    most; ``words`` is the least number of words of a chunk worth removing.
+    It has ``least`` lines at least, where the text or a passage does not end
+    it, and ``most`` at most. ``words`` is the least number of words of a chunk
+    of several lines worth removing; a line of ``passage`` words or more stands
+    alone and is removed like one.
     """
 
     window: int = 2
@@ -32,6 +35,10 @@ class Chunks:
     least: int = 2
     most: int = 16
     words: int = 8
+    passage: int = 50
+
+    def long(self, line: str) -> bool:
+        return len(line) >= 2 * self.passage - 1 and len(line.split()) >= self.passage
 
 
 def dedup_lines(
@@ -129,14 +136,14 @@ def _without(
 
 
 def _chunk_rows(chunks: Chunks, with_text: bool | None):
-    """The chunks of several lines of each text, for mapInArrow."""
+    """The chunks of each text that are worth removing if repeated, for mapInArrow."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
             ids, places, first, second, sizes, texts = [], [], [], [], [], []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 for i, lines in enumerate(_split(text, chunks)):
-                    if len(lines) < 2 or sum(len(x.split()) for x in lines) < chunks.words:
+                    if sum(len(x.split()) for x in lines) < (chunks.words if len(lines) > 1 else chunks.passage):
                         continue
                     h1, h2 = _keys(lines)
                     ids.append(doc)
@@ -170,13 +177,17 @@ def _split(text: str | None, chunks: Chunks) -> Iterator[list[str]]:
     last = [0] * chunks.window
     lines = text.split("\n")
     for line in lines:
+        alone = chunks.long(line)
+        if alone and held:
+            yield held
+            held = []
         held.append(line)
         last = [*last[1:], xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))]
         rolled = 0
         for h in last:
             rolled = (rolled * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
         ends = len(held) >= chunks.least and (rolled >> 20) % chunks.divisor == 0
-        if ends or len(held) >= chunks.most:
+        if alone or ends or len(held) >= chunks.most:
             yield held
             held = []
     if held:

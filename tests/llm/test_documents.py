@@ -262,7 +262,7 @@ def test_line_dedup_keeps_the_first(docs, rows, empty):
     places = defaultdict(set)
     for i, text, *_ in rows:
         for k, lines in enumerate(line_dedup._split(text, rule)):
-            if len(lines) > 1 and sum(len(x.split()) for x in lines) >= rule.words:
+            if sum(len(x.split()) for x in lines) >= (rule.words if len(lines) > 1 else rule.passage):
                 places["\n".join(lines)].add(((i is not None, i or 0), k))
     expected = {}
     for i, text, *_ in rows:
@@ -284,3 +284,11 @@ def test_line_chunks_resist_shifts():
     rule = line_dedup.Chunks()
     cut = [{"\n".join(c) for c in line_dedup._split("\n".join([*before, *passage]), rule)} for before in ([], ["x"], ["y", "z", "w"])]
     assert len(cut[0] & cut[1] & cut[2]) >= len(cut[0]) - 4
+
+
+def test_line_dedup_cuts_a_passage_of_one_line(spark):
+    passage, short = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("long", 50), ("short", 49)))
+    texts = [f"a b\n{passage}\nc", f"{short}\nd", f"e\n{passage}", f"f\n\n{short}\ng h", passage]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert found == {0: texts[0], 1: texts[1], 2: "e", 3: texts[3], 4: ""}
