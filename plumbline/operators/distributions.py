@@ -80,7 +80,7 @@ def ks_statistics(
     in_bucket = Window.partitionBy("column", "bucket").orderBy("value")
     inside = (
         values.join(
-            F.broadcast(open_buckets.select("column", "bucket")), ["column", "bucket"], "left_semi"
+            open_buckets.select("column", "bucket"), ["column", "bucket"], "left_semi"
         )
         .groupBy("column", "bucket", "value")
         .agg(*by_group)
@@ -90,7 +90,7 @@ def ks_statistics(
                 "inside_second": F.sum("n_second").over(in_bucket),
             }
         )
-        .join(F.broadcast(open_buckets), ["column", "bucket"])
+        .join(open_buckets, ["column", "bucket"])
         .withColumns(
             {
                 "upto_first": F.col("before_first") + F.col("inside_first"),
