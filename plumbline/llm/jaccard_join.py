@@ -36,7 +36,7 @@ from plumbline.llm.shingles import mix, shingle_sets
 COUNTERS = 1 << 22  # of the table that orders shingles, 16 MB
 PART = 1 << 16  # counters in a row on their way to the sum
 TOKEN_BITS = 48
-MERGING_ROUNDS = 4
+MERGING_ROUNDS = 2
 SIGNATURE = ("s0", "s1", "s2", "s3")  # 256 bits of each set
 CENTERS = 8  # so many members of each shingle are tried in a merging round
 
