@@ -60,19 +60,27 @@ class Rule:
         return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
 
     def possible(self) -> Column:
-        """Length, position and suffix filter for columns n, pos and s0 to s3 of a and b.
+        """Length, position and suffix filter for columns n, pos and fold of a and b.
 
-        Two sets differ in as many shingles at least as their signatures in bits.
+        Two sets differ in as many shingles at least as their signatures in bits,
+        folded or not.
 
         True for the first shingle, in the global order, that two linked sets share.
         """
         return F.expr(
             f"100L * least(n_a, n_b) >= {self.percent}L * greatest(n_a, n_b) AND "
             f"{100 + self.percent}L * least(n_a - pos_a, n_b - pos_b) >= {self.percent}L * (n_a + n_b) AND "
-            "bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) + bit_count(s2_a ^ s2_b) + bit_count(s3_a ^ s3_b) <= "
-            f"n_a + n_b - 2 * (({self.percent}L * (n_a + n_b) + {99 + self.percent}L) div {100 + self.percent}L)"
+            f"bit_count(fold_a ^ fold_b) <= {self._differences()}"
         )
 
+    def alike(self) -> Column:
+        """The suffix filter on whole signatures, for columns n and s0 to s3 of a and b."""
+        bits = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in SIGNATURE)
+        return F.expr(f"{bits} <= {self._differences()}")
+
+    def _differences(self) -> str:
+        return f"n_a + n_b - 2 * (({self.percent}L * (n_a + n_b) + {99 + self.percent}L) div {100 + self.percent}L)"
+
 
 def near_duplicates(
     docs: DataFrame, rule: Rule = Rule(), id_column: str = "doc_id", text_column: str = "text"
@@ -94,11 +102,11 @@ def near_duplicates(
     classes = (
         sets.where("n > 0 AND id IS NOT NULL")
         .groupBy("key")
-        .agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in SIGNATURE])
+        .agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *SIGNATURE)])
     )
-    classes = materialize(classes)
+    classes = materialize(classes.withColumn("fold", F.expr(" ^ ".join(SIGNATURE))))
     joined = _joined_prefixes(texts, grades, rule, classes)
-    components = _components(texts, joined, rule)
+    components = _components(texts, joined, rule, classes)
     # Documents of one class may carry an id that stands elsewhere as well.
     labelled = (
         sets.join(classes.select("key", "rep"), "key", "left")
@@ -218,11 +226,18 @@ def _joined_prefixes(
 
     rows = texts.where("id IS NOT NULL").mapInArrow(prefixes, "token bigint, key bigint, n int, pos int")
     # Copies send the same rows; size and place are packed to keep the shuffle narrow.
+    rows = rows.where("token IS NOT NULL AND key IS NOT NULL")
     packed = rows.select("token", "key", F.expr("n * 4294967296L + pos").alias("place"))
     packed = packed.groupBy("token", "key").agg(F.min("place").alias("place"))
-    shared = packed.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    # The place and the filter on nulls, which changes nothing, make both readers of
+    # the rows alike, so that they share one shuffle.
+    shared = (
+        packed.groupBy("token")
+        .agg(F.count("*").alias("members"), F.min("place").alias("least"))
+        .where("members > 1 AND least >= 0")
+    )
     kept = packed.join(shared.select("token"), "token", "left_semi")
-    known = classes.select("key", "rep", *SIGNATURE)
+    known = classes.select("key", "rep", "fold")
     share = 2 * rule.percent
     return materialize(
         kept.join(known, "key")
@@ -231,13 +246,13 @@ def _joined_prefixes(
             "rep",
             F.shiftright("place", 32).cast("int").alias("n"),
             F.expr("cast(place & 4294967295L as int)").alias("pos"),
-            *SIGNATURE,
+            "fold",
         )
         .withColumn("indexed", F.expr(f"pos < n - (({share} * n + {99 + rule.percent}) div {100 + rule.percent}) + 1"))
     )
 
 
-def _components(texts: DataFrame, joined: DataFrame, rule: Rule) -> DataFrame:
+def _components(texts: DataFrame, joined: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
     """Rows (node, component) of the classes that are linked with another."""
     components = None
     verified = links = None
@@ -262,7 +277,7 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule) -> DataFrame:
         pairs = _all_pairs(rows, rule) if last else _star_pairs(rows, rule, turn)
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        pairs = materialize(_alike(pairs, classes, rule))
         if pairs.isEmpty():
             merging = False
             continue
@@ -290,7 +305,7 @@ def _star_pairs(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
     shingles, so that near copies, which share many, mostly meet the same ones.
     """
     orders = [F.hash("rep", F.lit(turn * CENTERS + i)) for i in range(CENTERS)]
-    members = rows.select("token", "rep", "n", "pos", "component", *SIGNATURE)
+    members = rows.select("token", "rep", "n", "pos", "component", "fold")
     least = rows.groupBy("token").agg(*[F.min(order).alias(f"least_{i}") for i, order in enumerate(orders)])
     first = reduce(or_, [order == F.col(f"least_{i}") for i, order in enumerate(orders)])
     centers = members.join(least, "token").where(first).select(
@@ -310,7 +325,7 @@ def _all_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
 
     def side(name: str) -> DataFrame:
         return rows.select(
-            "token", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "pos", "component", "indexed", *SIGNATURE)]
+            "token", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "pos", "component", "indexed", "fold")]
         )
 
     smaller = "(n_a < n_b OR (n_a = n_b AND rep_a < rep_b))"
@@ -324,6 +339,17 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b")).distinct()
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose whole signatures allow a link."""
+
+    def side(name: str) -> DataFrame:
+        return classes.select(
+            F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", *SIGNATURE)]
+        )
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(rule.alike()).select("a", "b")
+
+
 def _verify(texts: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Rows (a, b, linked): each pair's sets compared once, from the whole texts."""
     wanted = maybe_in(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b")))))
