@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that stand elsewhere already."""
-    cut = line_dedup.dedup_lines(docs).select(*docs.columns)
+    """All documents, without the chunks and passages of lines that stand elsewhere already."""
+    cut = line_dedup.dedup_lines(docs, passages=True).select(*docs.columns)
     return cut.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 

@@ -92,12 +92,8 @@ def materialize(df: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 24
 
 
-def maybe_in(ids: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
-    """A test on hashes: true for every one in the only column of ``ids``, and for some others.
-
-    A table of ``bits`` bits, whatever the number of ids; a fuller one lets
-    more rows through to the join that decides.
-    """
+def hash_bits(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """``bits`` bits, in words of 64, with those set that the hashes in the only column of ``ids`` name."""
     (name,) = ids.columns
     words = (
         ids.select(F.col(name).bitwiseAND(F.lit(bits - 1)).alias("place"))
@@ -111,6 +107,16 @@ def maybe_in(ids: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Colu
     table = np.zeros(bits // 64, dtype=np.int64)
     for word, held in words.collect():
         table[word] = held
+    return table
+
+
+def maybe_in(ids: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test on hashes: true for every one in the only column of ``ids``, and for some others.
+
+    A table of ``bits`` bits, whatever the number of ids; a fuller one lets
+    more rows through to the join that decides.
+    """
+    table = hash_bits(ids, bits)
 
     @F.pandas_udf("boolean")
     def maybe(hashes: pd.Series) -> pd.Series:

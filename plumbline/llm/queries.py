@@ -67,7 +67,7 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.dedup_lines(read_documents(spark, folder))
+    return line_dedup.dedup_lines(read_documents(spark, folder), passages=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

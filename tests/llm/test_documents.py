@@ -292,3 +292,55 @@ def test_line_dedup_cuts_a_passage_of_one_line(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     assert found == {0: texts[0], 1: texts[1], 2: "e", 3: texts[3], 4: ""}
+
+
+def without_passages(texts, least=50):
+    """Lines of every run that stands in an earlier place, by comparing all pairs of lines."""
+    lines = [t.split("\n") for t in texts]
+    gone = [set() for _ in lines]
+    for d, x in enumerate(lines):
+        for e, y in enumerate(lines[: d + 1]):
+            for i in range(len(x)):
+                for j in range(len(y) if e < d else i):
+                    if i and j and x[i - 1] == y[j - 1]:
+                        continue
+                    n = 0
+                    while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                        n += 1
+                    if sum(len(z.split()) for z in x[i : i + n]) >= least:
+                        gone[d].update(range(i, i + n))
+    return ["\n".join(z for i, z in enumerate(x) if i not in g) for x, g in zip(lines, gone)]
+
+
+def test_line_dedup_cuts_passages_of_few_lines(spark):
+    """Passages of two to five lines among other lines, each in three documents."""
+    n = iter(range(10**6))
+
+    def line(size):
+        return " ".join(f"w{next(n)}" for _ in range(size))
+
+    texts = []
+    for size in (2, 3, 4, 5):
+        for _ in range(12):
+            passage = [line(-(-50 // size)) for _ in range(size)]
+            texts += ["\n".join([*map(line, (7, 9, 12)[:k]), *passage, *map(line, (8, 11)[: 2 - k])]) for k in range(3)]
+    run = [line(20) for _ in range(9)]
+    texts += ["\n".join([*run[:7], line(9)]), "\n".join([line(6), *run[2:]]), "\n".join([line(5), *run, line(4)])]
+    short = [line(24), line(25)]
+    texts += ["\n".join([line(9), *short]), "\n".join([*run[:2], *short])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    # No line or pair of lines is worth a chunk, so that passages alone are cut.
+    rule = line_dedup.Chunks(words=50)
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs, rule, passages=True).collect()}
+    assert [found[i].text for i in range(len(texts))] == without_passages(texts)
+    assert sum(r.n_removed_lines for r in found.values()) > 24 * 14
+    assert sum(line_dedup.dedup_lines(docs, rule).toPandas().n_removed_lines) < 24 * 14
+
+
+def test_line_dedup_keeps_one_of_overlapping_passages(spark):
+    same, (a, b, c) = "w " * 20, ("a " * 30, "b " * 30, "c " * 30)
+    texts = ["\n".join([same] * 9), "\n".join([a, b, c] * 3), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rule = line_dedup.Chunks(words=50)
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, rule, passages=True).collect()}
+    assert found[0] == "\n".join([same] * 3) and found[1] == "\n".join([a, b, c]) and (found[2], found[3]) == (None, "")
