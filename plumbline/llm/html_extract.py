@@ -2,8 +2,9 @@
 
 A page becomes a tree of its elements. Every element has a density: characters
 per tag, adjusted for the share of both that lies in links. The container whose
-children's densities add up to most, and whose own density is no less than the
-least one between it and the body, is the article.
+children's densities add up to most is the heart of the article. The least
+density of what it lies in, up to the body, is the threshold: the other parts of
+the page that reach it belong to the article too.
 """
 
 from __future__ import annotations
@@ -57,13 +58,14 @@ _OTHER = re.compile(
 
 
 class _Node:
-    __slots__ = ("name", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("name", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "sum", "blocks", "heart")
 
     def __init__(self, name: str, parent: _Node | None, skip: bool) -> None:
         self.name, self.parent, self.skip = name, parent, skip
         self.children: list[_Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.blocks = 0
         self.density = self.sum = 0.0
+        self.heart: _Node | None = None
 
 
 def main_text(page: str | None) -> str:
@@ -75,10 +77,7 @@ def main_text(page: str | None) -> str:
     for node in order:
         order.extend(c for c in node.children if isinstance(c, _Node) and not c.skip)
     _weigh(order, body)
-    best = _article(order, body)
-    if best is None:
-        return ""
-    return "\n\n".join(_blocks(best))
+    return "\n\n".join(block for part in _article(body) for block in _blocks(part))
 
 
 def _tree(page: str) -> _Node:
@@ -168,7 +167,7 @@ def _is_other(name: str, attributes: str, parent: _Node) -> bool:
 
 
 def _weigh(order: list[_Node], body: _Node) -> None:
-    """Densities of all elements and their sums over children, from the leaves up."""
+    """Densities of all elements, their sums over children, and the container of the largest sum in each."""
     for node in reversed(order):
         own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
         node.chars += own
@@ -180,39 +179,93 @@ def _weigh(order: list[_Node], body: _Node) -> None:
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
+            up.blocks += node.blocks + (node.name in _BLOCK)
     links = body.link_chars / max(body.chars, 1)
     for node in reversed(order):
-        chars, tags = node.chars, max(node.tags, 1)
-        if chars:
-            linked, link_tags = max(node.link_chars, 1), max(node.link_tags, 1)
-            plain = max(chars - node.link_chars, 1)
-            base = math.log(chars / plain * node.link_chars + links * chars + math.e)
-            node.density = chars / tags * max(math.log(chars / linked * tags / link_tags) / math.log(base + 1.0), 0.0)
+        node.density = _density(node, links)
+        if node.name in _CONTAINER and node.chars and (node.heart is None or node.sum >= node.heart.sum):
+            node.heart = node
         if node.parent is not None:
-            node.parent.sum += node.density
+            up = node.parent
+            up.sum += node.density
+            if node.heart and (up.heart is None or node.heart.sum >= up.heart.sum):
+                up.heart = node.heart
 
 
-def _article(order: list[_Node], body: _Node) -> _Node | None:
-    best = None
-    for node in order:
-        if node.name in _CONTAINER and node.chars and (best is None or node.sum > best.sum):
-            least = min(_path(node))
-            if node is body or node.density >= least:
-                best = node
-    if best is None:
-        return None
-    # An article that says so is taken as a whole.
-    up = best
-    while up is not None:
-        if up.name in ("article", "main"):
-            best = up
-        up = up.parent
-    return best
+def _density(node: _Node, links: float) -> float:
+    chars, tags = node.chars, max(node.tags, 1)
+    if not chars:
+        return 0.0
+    linked, link_tags = max(node.link_chars, 1), max(node.link_tags, 1)
+    plain = max(chars - node.link_chars, 1)
+    base = math.log(chars / plain * node.link_chars + links * chars + math.e)
+    return chars / tags * max(math.log(chars / linked * tags / link_tags) / math.log(base + 1.0), 0.0)
 
 
-def _path(node: _Node) -> Iterator[float]:
+def _article(body: _Node) -> list[_Node]:
+    """The parts of the article in page order.
+
+    Of a part of the page that reaches the threshold its own heart is taken as a
+    whole, and what lies around that as far as it reaches the threshold.
+    """
+    best = body.heart
+    if best is None:
+        return []
+    path = list(_path(best))
+    # An article that says so is taken as a whole.
+    for node in reversed(path):
+        if node.name in ("article", "main"):
+            return [node]
+    if best is body:
+        return [body]
+    least = min(node.density for node in path[1:])
+    links = body.link_chars / max(body.chars, 1)
+    above, hearts, parts = set(path[1:]), {best}, []
+    stack: list[_Node] = [body]
+    while stack:
+        node = stack.pop()
+        reaches = node.chars and node.density >= least
+        if reaches and node not in above and node not in hearts and node.heart not in (None, node):
+            hearts.add(node.heart)
+            for up in _path(node.heart.parent):
+                above.add(up)
+                if up is node:
+                    break
+        if node in hearts or reaches and node not in above:
+            parts.append(node)
+        elif node in above or node.blocks:
+            stack.extend(reversed(list(_pieces(node, above, links))))
+    return parts
+
+
+def _pieces(node: _Node, above: set[_Node], links: float) -> Iterator[_Node]:
+    """The elements in a node; text and elements within lines that follow each other are one."""
+    run: list[_Node | str] = []
+    for child in [*node.children, None]:
+        if isinstance(child, str) or child and (child.skip or not (child.name in _BLOCK or child.blocks or child in above)):
+            run.append(child)
+            continue
+        if run:
+            line = _Node("p", node, False)
+            line.children = run
+            for c in run:
+                if isinstance(c, str):
+                    line.chars += len("".join(c.split()))
+                elif not c.skip:
+                    line.chars += c.chars
+                    line.tags += c.tags + 1
+                    line.link_chars += c.link_chars
+                    line.link_tags += c.link_tags
+            line.density = _density(line, links)
+            yield line
+            run = []
+        if child is not None:
+            yield child
+
+
+def _path(node: _Node | None) -> Iterator[_Node]:
     while node is not None:
-        yield node.density
+        yield node
         node = node.parent
 
 

@@ -28,6 +28,24 @@ def test_main_text(page, text):
     assert text is None or found == text
 
 
+def paragraphs(name, n=10):
+    return [f"{name} {i} " + "says a little more about it all, " * 3 + "and ends." for i in range(n)]
+
+
+def test_main_text_of_several_containers():
+    """No article or main element; what is linked or short beside the text is left out."""
+    one, two, three = (paragraphs(x) for x in ("one", "two", "three"))
+    as_html = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    links = "<div>" + "".join(f"<a href=x{i}>Another page {i}</a> " for i in range(30)) + "</div>"
+    page = f"<body>{links}<div id=content><div>{as_html(one)}</div><div>{as_html(two)}</div></div>{links}<div>Imprint</div>"
+    assert html_extract.main_text(page) == "\n\n".join(one + two)
+    page = f"<body>{links}<div><div>{as_html(one)}</div>{links}<section><div>{as_html(two)}</div></section></div><div>{as_html(three)}</div>"
+    assert html_extract.main_text(page) == "\n\n".join(one + two + three)
+    bare = "Text <b>of its own</b> between containers, " + "which goes on and on, " * 5 + "and ends."
+    page = f"<body><div>{as_html(one)}</div>{bare}<div>{as_html(two)}</div>{links}"
+    assert html_extract.main_text(page) == "\n\n".join([*one, re.sub("<.*?>", "", bare), *two])
+
+
 def test_extract_text(spark):
     rows = [(i, None if i == 3 else f"u{i}", page, "x") for i, (page, _) in enumerate(PAGES)] * 2
     schema = "page_id bigint, url string, html string, text string"
