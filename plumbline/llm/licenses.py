@@ -1,15 +1,17 @@
 """License scans: text blocks that contain a license's words.
 
-Templates and text blocks (lines) are sets of words. Words are put into one
-order by the number of blocks of the corpus that hold them, rare ones first. A
-block that holds the share ``containment`` of a template must hold one of the
-template's first few words, at a place that leaves room for the others; only
-such templates are compared with it. Fixed phrases are looked up besides.
+Templates and text blocks are sets of words. A block is any stretch of words of
+a text, across lines, that is ``spread`` as long as the template at most. Words
+are put into one order by the number of lines of the corpus that hold them, rare
+ones first. A block that holds the share ``percent`` of a template must hold one
+of the template's first few words; only the blocks around these are compared
+with it. Fixed phrases are looked up besides.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -45,11 +47,16 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class Scan:
-    """A template is found in a block that holds 100 * words >= ``percent`` * the template's words."""
+    """A template is found in a block that holds 100 * words >= ``percent`` * the template's words.
+
+    A block has ``spread`` percent of the words of the template at most, all its
+    repeated words counted: all blocks of that length are looked at.
+    """
 
     templates: Sequence[tuple[str, str]] = TEMPLATES
     phrases: Sequence[tuple[str, str]] = PHRASES
     percent: int = 90
+    spread: int = 200
 
 
 def scan_licenses(
@@ -61,8 +68,8 @@ def scan_licenses(
     places of the phrases, ``first_word`` and ``last_word`` are the first and
     last of them, null if there is none. ``labels`` are those of the phrases and
     of the templates found; ``score`` is the best containment that reaches the
-    threshold (1 for a phrase), else 0. ``blocks`` lists line, label and
-    containment of what was found. Repeated rows get equal answers.
+    threshold (1 for a phrase), else 0. ``blocks`` lists the line of the first
+    word, label and containment of each place where a template was found. Repeated rows get equal answers.
     """
     ship(docs.sparkSession)
     texts = docs.select(
@@ -87,7 +94,7 @@ def scan_licenses(
 
 
 def _frequencies(texts: DataFrame, scan: Scan) -> dict[str, int]:
-    """In how many blocks of the corpus each word of a template stands."""
+    """In how many lines of the corpus each word of a template stands."""
     wanted = frozenset(w for _, text in scan.templates for w in words(text))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,27 +125,23 @@ class Scanner:
         order = sorted(vocabulary, key=lambda w: (frequencies.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.templates = []
-        self.index: dict[int, list[tuple[int, int]]] = {}
+        self.index: dict[int, list[int]] = {}
         for label, text in scan.templates:
             ranks = sorted({self.rank[w] for w in words(text)})
             if not ranks:
                 continue
             least = -(-scan.percent * len(ranks) // 100)
-            for place, rank in enumerate(ranks[: len(ranks) - least + 1]):
-                self.index.setdefault(rank, []).append((len(self.templates), place))
-            self.templates.append((label, frozenset(ranks), least))
+            for rank in ranks[: len(ranks) - least + 1]:
+                self.index.setdefault(rank, []).append(len(self.templates))
+            self.templates.append((label, frozenset(ranks), least, max(scan.spread * len(words(text)) // 100, len(ranks))))
         self.rare = frozenset(w for w, r in self.rank.items() if r in self.index)
 
     def scan(self, text: str | None):
-        lines = (text or "").translate(_LOWER).split("\n")
-        n_words, found = 0, []
-        all_words: list[str] = []
-        for i, line in enumerate(lines):
-            held = _WORDS.findall(line)
-            all_words += held
-            if not self.rare.isdisjoint(held):
-                found += [{"line": i, "label": label, "containment": c} for label, c in self._matches(held)]
-        n_words = len(all_words)
+        lower = (text or "").translate(_LOWER)
+        all_words = _WORDS.findall(lower)
+        n_words, found = len(all_words), []
+        if not self.rare.isdisjoint(all_words):
+            found = self._matches(all_words, lower)
         places: list[int] = []
         base = set()
         for phrase, label in self.phrases:
@@ -150,22 +153,56 @@ class Scanner:
         first, last = (min(places), max(places)) if places else (None, None)
         return n_words, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, found
 
-    def _matches(self, held: list[str]) -> Iterator[tuple[str, float]]:
-        """Label and containment of each template that a block contains."""
-        block = sorted({self.rank[w] for w in held if w in self.rank})
-        tried = set()
-        for seen, rank in enumerate(block):
-            for template, place in self.index.get(rank, ()):
-                label, ranks, least = self.templates[template]
-                # Length filter, then position: what may still be common from here on.
-                if template in tried or len(block) < least:
-                    continue
-                if 1 + min(len(block) - seen - 1, len(ranks) - place - 1) < least:
-                    continue
-                tried.add(template)
-                common = len(ranks.intersection(block))
-                if common >= least:
-                    yield label, common / len(ranks)
+    def _matches(self, held: list[str], lower: str) -> list[dict]:
+        """Line, label and containment of each place where a template is found."""
+        hits = [(at, self.rank[w]) for at, w in enumerate(held) if w in self.rank]
+        # Stretches of the text around the rare words of each template.
+        near: dict[int, list[list[int]]] = {}
+        for at, rank in hits:
+            for template in self.index.get(rank, ()):
+                reach = self.templates[template][3] - 1
+                stretches = near.setdefault(template, [])
+                if stretches and at - reach <= stretches[-1][1]:
+                    stretches[-1][1] = at + reach
+                else:
+                    stretches.append([at - reach, at + reach])
+        places = [
+            (at, self.templates[template][0], common / len(self.templates[template][1]))
+            for template, stretches in near.items()
+            for start, end in stretches
+            for at, common in self._runs(hits[bisect_left(hits, (start,)) : bisect_right(hits, (end + 1,))], template)
+        ]
+        if not places:
+            return []
+        ends, total = [], 0
+        for line in lower.split("\n"):
+            ends.append(total := total + len(_WORDS.findall(line)))
+        return [{"line": bisect_right(ends, at), "label": label, "containment": c} for at, label, c in sorted(places)]
+
+    def _runs(self, hits: list[tuple[int, int]], template: int) -> Iterator[tuple[int, int]]:
+        """First word and number of common words of the best of all blocks that follow each other and hold enough."""
+        _, ranks, least, length = self.templates[template]
+        hits = [h for h in hits if h[1] in ranks]
+        block: Counter[int] = Counter()
+        first, common, best = 0, 0, (0, 0)
+        for at, rank in hits:
+            # Words that have left the block; a run ends where too few are left.
+            while at - hits[first][0] >= length:
+                block[hits[first][1]] -= 1
+                common -= not block[hits[first][1]]
+                first += 1
+            if common < least and best[1]:
+                yield best
+                best = (0, 0)
+            block[rank] += 1
+            common += block[rank] == 1
+            while block[hits[first][1]] > 1:
+                block[hits[first][1]] -= 1
+                first += 1
+            if common >= least and common > best[1]:
+                best = (hits[first][0], common)
+        if best[1]:
+            yield best
 
 
 def _places(held: list[str], phrase: list[str]) -> list[int]:

@@ -255,6 +255,45 @@ def test_licenses_against_all_templates(spark, docs, rows, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files, to deal in the Software"""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:"""
+
+
+def test_licenses_across_lines_but_not_scattered(spark):
+    scattered = "all of it " + "word " * 500 + "rights " + "word " * 500 + "reserved " + "word " * 9
+    texts = [
+        f"x\n\n{MIT}", BSD, f"{MIT}\n{BSD}\nand\n{MIT}", scattered, scattered + "\nAll\nrights\nreserved.", MIT.replace(" ", "\n"),
+        "all rights " * 3 + "reserved reserved all all", "a word of all the\nrights that are\nnow reserved",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: [(b.line, b.label, b.containment) for b in r.blocks] for r in licenses.scan_licenses(docs).collect()}
+    assert found[0] == [(2, "mit", 1.0)] and found[1] == [(0, "bsd", 1.0)] and found[5] == [(0, "mit", 1.0)]
+    assert found[2] == [(0, "mit", 1.0), (2, "bsd", 1.0), (5, "mit", 1.0)]
+    assert found[3] == [] and found[4] == [(1, "all-rights-reserved", 1.0)]
+    assert found[6] == [(0, "all-rights-reserved", 1.0)] and found[7] == []
+
+
+def test_license_blocks_against_all_stretches():
+    """Templates found at random places, by looking at every stretch of words."""
+    rng = np.random.default_rng(3)
+    scan = licenses.Scan(templates=[("x", "a b c d e f g h i j k"), ("y", "a l m"), ("z", "b b c n")], phrases=[])
+    scanner = licenses.Scanner(scan, {"a": 9, "b": 5, "l": 1})
+    hits = 0
+    for _ in range(400):
+        w = list(rng.choice(list("abcdefghijklmn") + ["o"] * int(rng.integers(1, 9)), size=rng.integers(0, 60)))
+        expected = set()
+        for label, template in scan.templates:
+            t, n = set(template.split()), 2 * len(template.split())
+            if any(10 * len(t & set(w[i : i + n])) >= 9 * len(t) for i in range(max(1, len(w) - n + 1))):
+                expected.add(label)
+        text = "".join(x + str(rng.choice([" ", "\n"])) for x in w)
+        assert set(filter(None, scanner.scan(text)[5].split(","))) == expected
+        hits += len(expected)
+    assert hits > 50
+
+
 def test_line_dedup_keeps_the_first(docs, rows, empty):
     rule = line_dedup.Chunks()
     found = line_dedup.dedup_lines(docs, rule).collect()
