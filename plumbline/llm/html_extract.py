@@ -47,6 +47,13 @@ _CLOSES = {
     "option": frozenset(["option"]),
 }
 _SCOPE = frozenset("table ul ol dl div section article main body html td th blockquote".split())
+# What an element without its end tag ends at, as no such element can hold it.
+_BEYOND = rf"<(?:{'|'.join(sorted(_BLOCK))}|input|select|textarea|svg)(?=[\s/>])"
+_FOREIGN = re.compile(r"<(?:foreignobject|desc|title)(?=[\s/>])", re.I)
+# "has-sidebar" says that something else is the sidebar.
+_MENTION = re.compile(r"(?<![^\s_-])(?:has|no|with|without)[_-]\S*", re.I)
+# A part named otherwise that holds so much of the text is the page.
+_DOMINANT = 0.9
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _OTHER = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ad|ads|adv|advert\w*|banner|"
@@ -58,7 +65,7 @@ _OTHER = re.compile(
 
 
 class _Node:
-    __slots__ = ("name", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "sum", "blocks", "heart")
+    __slots__ = ("name", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "sum", "blocks", "heart", "named")
 
     def __init__(self, name: str, parent: _Node | None, skip: bool) -> None:
         self.name, self.parent, self.skip = name, parent, skip
@@ -66,6 +73,7 @@ class _Node:
         self.chars = self.tags = self.link_chars = self.link_tags = self.blocks = 0
         self.density = self.sum = 0.0
         self.heart: _Node | None = None
+        self.named = False
 
 
 def main_text(page: str | None) -> str:
@@ -73,6 +81,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     body = _tree(page)
+    _judge_names(body)
     order = [body]
     for node in order:
         order.extend(c for c in node.children if isinstance(c, _Node) and not c.skip)
@@ -82,6 +91,7 @@ def main_text(page: str | None) -> str:
 
 def _tree(page: str) -> _Node:
     root = node = _Node("body", None, False)
+    missing: set[str] = set()
     at = 0
     while match := _TOKEN.search(page, at):
         if match.start() > at:
@@ -95,8 +105,8 @@ def _tree(page: str) -> _Node:
             node = _close(node, name)
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(page, at)
-            at = end.end()
+            if not (name == "svg" and match[3].endswith("/")):
+                at = _end(page, name, at, missing)
             continue
         if name in ("html", "body"):
             continue
@@ -111,6 +121,7 @@ def _tree(page: str) -> _Node:
         if closes := _CLOSES.get(name):
             node = _implied(node, closes)
         node.children.append(child := _Node(name, node, _is_other(name, match[3], node)))
+        child.named = _named(match[3])
         if not match[3].endswith("/"):
             node = child
     if at < len(page):
@@ -118,6 +129,54 @@ def _tree(page: str) -> _Node:
     return root
 
 
+def _end(page: str, name: str, at: int, missing: set[str]) -> int:
+    """Where the content of an element ends of which nothing is read.
+
+    Scripts and the like without an end tag reach to the end of the page, as in
+    browsers; a form field, title or drawing ends where a block begins.
+    ``missing`` keeps the names that have no end tag from here on.
+    """
+    stop = len(page)
+    if name in ("title", "svg", "select"):
+        first = re.compile(rf"(</{name}\s*>)|{_BEYOND}", re.I).search(page, at)
+        if first is None:
+            return stop
+        if first[1]:
+            return first.end()
+        stop = first.start()
+        if name != "svg" or first[0].lower() != "<svg" and not _FOREIGN.search(page, at, stop):
+            return stop
+    end = None if name in missing else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+    if end:
+        return end.end()
+    missing.add(name)
+    # These two may hold any block; without an end tag they are left open.
+    return at if name in ("noscript", "template") else stop
+
+
+def _judge_names(body: _Node) -> None:
+    """Leave out the parts of the page that class or id name something else.
+
+    Not so where nothing but such a part holds an article or main element, or
+    nearly all of the text.
+    """
+    order, sizes = [body], {}
+    for node in order:
+        order.extend(c for c in node.children if isinstance(c, _Node) and not c.skip)
+    for node in reversed(order):
+        sizes[node] = sum(sizes[c] if isinstance(c, _Node) and not c.skip else 0 if isinstance(c, _Node) else len("".join(c.split())) for c in node.children)
+    inside, outside = set(), False
+    for node in order:
+        if node.name in ("article", "main") and not node.named:
+            above = [up for up in _path(node.parent) if up.named and up.name not in ("article", "main")]
+            inside.update(above)
+            outside = outside or not above
+    for node in order:
+        if node.named and node.name not in ("article", "main"):
+            alone = node in inside and not outside
+            node.skip = not alone and sizes[node] < _DOMINANT * sizes[body]
+
+
 def _close(node: _Node, name: str) -> _Node:
     """Back to the parent of the open element of that name, if there is one."""
     up = node
@@ -155,8 +214,6 @@ def _is_other(name: str, attributes: str, parent: _Node) -> bool:
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and _OTHER.search(value):
-            return True
         if key == "role" and value.lower() in _ROLES or key == "hidden":
             return True
         if key == "aria-hidden" and value.lower() == "true":
@@ -166,6 +223,14 @@ def _is_other(name: str, attributes: str, parent: _Node) -> bool:
     return False
 
 
+def _named(attributes: str) -> bool:
+    """Whether class or id name something other than an article."""
+    return bool(attributes) and any(
+        key.lower() in ("class", "id") and _OTHER.search(_MENTION.sub(" ", value.strip("\"'")))
+        for key, value in _ATTRIBUTE.findall(attributes)
+    )
+
+
 def _weigh(order: list[_Node], body: _Node) -> None:
     """Densities of all elements, their sums over children, and the container of the largest sum in each."""
     for node in reversed(order):

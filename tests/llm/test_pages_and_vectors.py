@@ -46,6 +46,36 @@ def test_main_text_of_several_containers():
     assert html_extract.main_text(page) == "\n\n".join([*one, re.sub("<.*?>", "", bare), *two])
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "page with-comments", "post-share", "layout--without_ads", "sidebar"])
+@pytest.mark.parametrize("tag", ["div", "article", "main"])
+def test_main_text_in_a_part_that_mentions_something_else(name, tag):
+    texts = paragraphs("text")
+    inner = "".join(f"<p>{t}</p>" for t in texts)
+    other = "<div class='comments'>" + "<p>A comment of a reader, quite long too.</p>" * 2 + "</div><div>Imprint</div>"
+    page = f"<body><div>Name</div><div class='{name}'><{tag}>{inner}</{tag}>{other}</div>"
+    assert html_extract.main_text(page) == "\n\n".join(texts)
+
+
+def test_main_text_leaves_comments_out_as_before():
+    texts = paragraphs("text", 3)
+    inner = "".join(f"<p>{t}</p>" for t in texts)
+    replies = "<article class='comment'>" + "<p>A comment of a reader, quite long too, and not the article.</p>" * 20 + "</article>"
+    for tag in ("div", "article"):
+        page = f"<body><{tag}>{inner}</{tag}><div id='comments'>{replies}</div>"
+        assert html_extract.main_text(page) == "\n\n".join(texts)
+
+
+@pytest.mark.parametrize("raw", [
+    "<svg viewBox='0 0 1 1'/>", "<svg/>", "<svg><path d='M0'/>", "<select><option>one<option>two", "<select name=a>", "<template>", "<noscript>",
+    "<svg><foreignObject><div>drawn</div></foreignObject></svg>", "<svg><text>drawn</text></svg>", "<select><option>one</select>", "<svg><g><svg><text>x</text></svg>",
+])
+def test_main_text_after_elements_without_end(raw):
+    texts = paragraphs("text")
+    page = f"<body>{raw}<div>{''.join(f'<p>{t}</p>' for t in texts)}</div>"
+    assert html_extract.main_text(page) == "\n\n".join(texts)
+    assert html_extract.main_text(page + "<svg></svg><select></select>") == "\n\n".join(texts)
+
+
 def test_extract_text(spark):
     rows = [(i, None if i == 3 else f"u{i}", page, "x") for i, (page, _) in enumerate(PAGES)] * 2
     schema = "page_id bigint, url string, html string, text string"
