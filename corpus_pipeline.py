@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import jaccard_join, line_dedup, mixing, packing, quality
-from plumbline.llm.common import materialize, maybe_in, read_documents
+from plumbline.llm.common import fresh, materialize, maybe_in, read_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +22,34 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id."""
-    found = jaccard_join.near_duplicates(docs, jaccard_join.Rule(words=5, percent=80))
-    others = materialize(found.where("doc_id != component_id").select(F.col("doc_id").alias("other")).distinct())
+    """One document of each group of near-duplicates: the one of the smallest id, nulls last.
+
+    Documents without an id are told apart by numbers above all ids, which must
+    fit a bigint. Of rows with equal id and text the one with the smallest other
+    columns stays; different texts of one id are one document and stay together.
+    A text without words is in no group.
+    """
+    key = fresh(docs, "group_id")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    number = F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1).cast("bigint")
+    unknown = materialize(docs.where("doc_id IS NULL").withColumn(key, number))
+    rows = docs.where("doc_id IS NOT NULL").withColumn(key, F.col("doc_id").cast("bigint")).unionByName(unknown)
+    found = jaccard_join.near_duplicates(rows, jaccard_join.Rule(words=5, percent=80), id_column=key)
+    others = materialize(found.where(f"{key} != component_id").select(F.col(key).alias("other")).distinct())
     maybe = maybe_in(others.select(F.xxhash64("other")))
-    hit = maybe(F.xxhash64("doc_id"))
-    kept = docs.where(hit).join(others, F.col("doc_id") == F.col("other"), "left_anti")
-    return docs.where(~hit).unionByName(kept)
+    hit = maybe(F.xxhash64(key))
+    kept = rows.where(hit).join(others, F.col(key) == F.col("other"), "left_anti")
+    return _once(rows.where(~hit).unionByName(kept), key).select(*docs.columns)
+
+
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of equal ``key`` and text once; texts of other ids never leave their place."""
+    counts = rows.groupBy(key, F.xxhash64("text").alias("digest")).agg(F.count("*").alias("times"))
+    again = materialize(counts.where("times > 1").select(key).distinct())
+    hit = maybe_in(again.select(F.xxhash64(key)))(F.xxhash64(key))
+    rest = [c for c in rows.columns if c not in (key, "text")]
+    one = rows.where(hit).groupBy(key, "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    return rows.where(~hit).unionByName(one.select(key, "text", *[F.col(f"rest.{c}").alias(c) for c in rest]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

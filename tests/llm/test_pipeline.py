@@ -31,6 +31,25 @@ def test_stages_on_awkward_and_empty_tables(spark, folder):
             docs = materialize(stage(spark, docs, folder))
 
 
+def test_one_document_of_a_group_stays(spark, folder):
+    """Repeated rows, copies without an id beside one with an id, and groups without any id."""
+    text = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcd"]
+    near = [t.replace("59", "changed") for t in text]
+    rows = [
+        (5, text[0], "y"), (5, text[0], "x"), (5, text[0], "x"), (6, near[0], "z"), (None, text[0], "n"), (None, near[0], "n"),
+        (None, text[1], "n"), (None, text[1], "n"), (None, near[1], "n"),
+        (7, text[2], "x"), (7, text[3], "x"),
+        (None, None, "n"), (8, "", "x"), (8, "", "x"), (9, "", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    found = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()]
+    unnamed = [r for r in found if r[0] is None and r[1]]
+    assert len(unnamed) == 1 and unnamed[0][1] in (text[1], near[1])
+    named = [(5, text[0], "x"), (7, text[2], "x"), (7, text[3], "x"), (8, "", "x"), (9, "", "x")]
+    assert sorted(r for r in found if r[0] is not None) == sorted(named)
+    assert (None, None, "n") in found and len(found) == 7
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_runs(spark, folder, name):
     df = queries()[name](spark, folder)
