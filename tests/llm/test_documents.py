@@ -383,3 +383,12 @@ def test_line_dedup_keeps_one_of_overlapping_passages(spark):
     rule = line_dedup.Chunks(words=50)
     found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, rule, passages=True).collect()}
     assert found[0] == "\n".join([same] * 3) and found[1] == "\n".join([a, b, c]) and (found[2], found[3]) == (None, "")
+
+
+def test_line_dedup_counts_documents_without_id(spark):
+    """A chunk in a document with an id and one without: the latter is the first and stays."""
+    text = "\n".join(f"line {i} of a text that stands twice" for i in range(12))
+    docs = spark.createDataFrame([(1, text), (None, text)], "doc_id bigint, text string")
+    for passages in (False, True):
+        found = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, passages=passages).collect()}
+        assert found[None] == text and len(found[1]) < len(text) / 2
