@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from plumbline.llm import (
     ann,
+    decontaminate,
     html_extract,
     jaccard_join,
     language,
@@ -20,6 +21,7 @@ from plumbline.llm import (
     url_filter,
 )
 from plumbline.llm.common import read_documents
+from plumbline.llm.oracles import oracles
 
 
 def op1_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +72,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(read_documents(spark, folder), passages=True)
 
 
+def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(read_documents(spark, folder), read_documents(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_pareto_mix,
@@ -82,10 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest,
         op9_licenses,
         op10_line_dedup,
+        op11_decontaminate,
     ]
     return {**{f.__name__: f for f in found}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries that SQL can express; the others are tested against brute force."""
-    return {}
+    return oracles()
