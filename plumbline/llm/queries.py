@@ -15,12 +15,13 @@ from plumbline.llm import (
     language,
     licenses,
     line_dedup,
+    merkle,
     mixing,
     packing,
     quality,
     url_filter,
 )
-from plumbline.llm.common import read_documents
+from plumbline.llm.common import ascii_lower, read_documents
 from plumbline.llm.oracles import oracles
 
 
@@ -76,6 +77,28 @@ def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read_documents(spark, folder), read_documents(spark, folder, "benchmark"))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_documents(spark, folder)
+    fields = {name: F.col(name) for name in merkle.FIELDS}
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = merkle.digest_of((fields | {"text": ascii_lower(F.col("text"))}).values())
+    manifest = merkle.build(
+        docs,
+        merkle.digest_of(fields.values()),
+        group=F.col("lang"),
+        order=F.col("doc_id"),
+        payload={"doc_id": F.col("doc_id"), "tampered": F.when(touched, tampered)},
+    )
+    return manifest.proofs().select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_pareto_mix,
@@ -89,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_licenses,
         op10_line_dedup,
         op11_decontaminate,
+        op13_merkle,
     ]
     return {**{f.__name__: f for f in found}, "pipeline": corpus_pipeline.run}
 
