@@ -20,6 +20,7 @@ from plumbline.llm import (
     packing,
     quality,
     url_filter,
+    whitening,
 )
 from plumbline.llm.common import ascii_lower, read_documents
 from plumbline.llm.oracles import oracles
@@ -77,6 +78,24 @@ def op11_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read_documents(spark, folder), read_documents(spark, folder, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_documents(spark, folder, "embeddings")
+    model = whitening.fit(vectors)
+    found = whitening.whiten(vectors, model)
+    explained = F.array(*[F.lit(e) for e in model.explained]) if model else F.array().cast("array<double>")
+    return found.select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened")
+    ).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n if model else None).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    )
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_documents(spark, folder)
     fields = {name: F.col(name) for name in merkle.FIELDS}
@@ -112,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_licenses,
         op10_line_dedup,
         op11_decontaminate,
+        op12_whitening,
         op13_merkle,
     ]
     return {**{f.__name__: f for f in found}, "pipeline": corpus_pipeline.run}
