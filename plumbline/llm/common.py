@@ -39,20 +39,24 @@ def read_documents(spark: SparkSession, folder: str, name: str = "documents") ->
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names it. Only a local session, whose executors
-    are its driver, may go without and gets a temporary folder.
+    are its driver, may go without and gets a temporary folder, one for an application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not (spark.conf.get("spark.master", "") or "").startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _folders:
+        _folders[application] = tempfile.mkdtemp(prefix="plumbline-")
+    return _folders[application]
 
 
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,10 @@ hash bucket over all documents, which has a fixed size, and then the hash.
 Copies and clusters of near copies are kept from meeting in all pairs:
 
 * documents with equal sets are one class, joined once;
-* merging rounds verify each class against a few members per shared shingle
-  only, and link what is similar;
+* the first merging round verifies each class against a few common members per
+  shared shingle only, and links what is similar; the next ones deal the members
+  of crowded shingles to small buckets and try the pairs of a bucket, as long as
+  that links more;
 * the last join takes every remaining pair that shares a prefix shingle, but
   only between classes that are not connected yet. A link inside a component
   would not change it.
@@ -36,9 +38,9 @@ from plumbline.llm.shingles import mix, shingle_sets
 COUNTERS = 1 << 22  # of the table that orders shingles, 16 MB
 PART = 1 << 16  # counters in a row on their way to the sum
 TOKEN_BITS = 48
-MERGING_ROUNDS = 2
 SIGNATURE = ("s0", "s1", "s2", "s3")  # 256 bits of each set
-CENTERS = 8  # so many members of each shingle are tried in a merging round
+CENTERS = 8  # so many members of each shingle are tried in the first merging round
+CROWD = 64  # so many in the others
 
 
 @dataclass(frozen=True)
@@ -99,17 +101,17 @@ def near_duplicates(
         F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")
     )
     sets, grades = _sets_and_grades(texts, rule)
+    # Key, size and signature are 350 bits of what makes a class.
+    identity = ["key", "n", *SIGNATURE]
     classes = (
-        sets.where("n > 0 AND id IS NOT NULL")
-        .groupBy("key")
-        .agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *SIGNATURE)])
+        sets.where("n > 0 AND id IS NOT NULL").groupBy(*identity).agg(F.min("id").alias("rep"))
     )
     classes = materialize(classes.withColumn("fold", F.expr(" ^ ".join(SIGNATURE))))
     joined = _joined_prefixes(texts, grades, rule, classes)
     components = _components(texts, joined, rule, classes)
     # Documents of one class may carry an id that stands elsewhere as well.
     labelled = (
-        sets.join(classes.select("key", "rep"), "key", "left")
+        sets.join(classes.select(*identity, "rep"), identity, "left")
         .join(components, F.col("rep") == F.col("node"), "left")
         .select(
             "id", "n", F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "id").alias("component_id")
@@ -228,7 +230,7 @@ def _joined_prefixes(
     # Copies send the same rows; size and place are packed to keep the shuffle narrow.
     rows = rows.where("token IS NOT NULL AND key IS NOT NULL")
     packed = rows.select("token", "key", F.expr("n * 4294967296L + pos").alias("place"))
-    packed = packed.groupBy("token", "key").agg(F.min("place").alias("place"))
+    packed = packed.distinct()
     # The place and the filter on nulls, which changes nothing, make both readers of
     # the rows alike, so that they share one shuffle.
     shared = (
@@ -237,10 +239,11 @@ def _joined_prefixes(
         .where("members > 1 AND least >= 0")
     )
     kept = packed.join(shared.select("token"), "token", "left_semi")
-    known = classes.select("key", "rep", "fold")
+    known = classes.select("key", F.col("n").alias("size"), "rep", "fold")
     share = 2 * rule.percent
     return materialize(
         kept.join(known, "key")
+        .where("shiftright(place, 32) = size")
         .select(
             "token",
             "rep",
@@ -254,58 +257,79 @@ def _joined_prefixes(
 
 def _components(texts: DataFrame, joined: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
     """Rows (node, component) of the classes that are linked with another."""
-    components = None
-    verified = links = None
-    merging = True
-    for turn in range(MERGING_ROUNDS + 1):
-        last = turn == MERGING_ROUNDS
-        if not (last or merging):
-            continue
-        rows = joined.withColumn("component", F.col("rep"))
-        if components is not None:
-            rows = (
-                joined.join(components, joined["rep"] == components["node"], "left")
-                .select(joined["*"], F.coalesce("component", "rep").alias("component"))
-            )
-            # What lies within one component has nothing left to find.
-            open_ = (
-                rows.groupBy("token")
-                .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                .where("low != high")
-            )
-            rows = materialize(rows.join(open_.select("token"), "token", "left_semi"))
-        pairs = _all_pairs(rows, rule) if last else _star_pairs(rows, rule, turn)
-        if verified is not None:
-            pairs = pairs.join(verified, ["a", "b"], "left_anti")
-        pairs = materialize(_alike(pairs, classes, rule))
-        if pairs.isEmpty():
-            merging = False
-            continue
-        found = materialize(_verify(texts, pairs, rule))
+    found = materialize(_verify(texts, materialize(_alike(_star_pairs(joined, rule), classes, rule)), rule))
+    tried, links = found.select("a", "b"), found.where("linked").select("a", "b")
+    components = None if links.isEmpty() else connected_components(links)
+    rows = _open_rows(joined, components, classes)
+    # Later rounds read the texts of what may still be linked, not all texts again.
+    few = materialize(texts.where(maybe_in(rows.select(F.xxhash64("rep")))(F.xxhash64("id"))))
+    turn, merging = 0, True
+    while True:
+        crowded = rows.where(F.col("members") > CROWD)
+        merging = merging and not crowded.isEmpty()
+        pairs = _pairs(_bucketed(crowded, turn), rule) if merging else _pairs(rows, rule)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+        found = materialize(_verify(few, pairs, rule))
         now = found.where("linked").select("a", "b")
-        if now.isEmpty():
-            # Nothing left that a few members could merge.
-            merging = False
-            verified = found.select("a", "b") if verified is None else verified.unionByName(found.select("a", "b"))
-            continue
-        links = now if links is None else links.unionByName(now)
-        tried = found.select("a", "b")
-        verified = tried if verified is None else verified.unionByName(tried)
-        components = connected_components(links)
+        fresh_links = now.count()
+        if fresh_links:
+            links = links.unionByName(now)
+            components = connected_components(links)
+        if not merging:
+            return _known(texts, components)
+        if fresh_links:
+            tried = tried.unionByName(found.select("a", "b"))
+            rows = _open_rows(joined, components, classes)
+        # Another round is worth its jobs if this one has linked some of the crowd.
+        merging = 50 * fresh_links >= crowded.select("rep").distinct().count()
+        turn += 1
+
+
+def _known(texts: DataFrame, components: DataFrame | None) -> DataFrame:
     if components is None:
         return texts.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     return components
 
 
-def _star_pairs(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
+def _open_rows(joined: DataFrame, components: DataFrame | None, classes: DataFrame) -> DataFrame:
+    """The rows of shingles that stand in several components, with their number and whole signatures.
+
+    What lies within one component has nothing left to find.
+    """
+    rows = joined.withColumn("component", F.col("rep"))
+    if components is not None:
+        rows = joined.join(components, joined["rep"] == components["node"], "left").select(
+            joined["*"], F.coalesce("component", "rep").alias("component")
+        )
+    open_ = (
+        rows.groupBy("token")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+        .where("low != high")
+    )
+    kept = rows.join(open_.select("token", "members"), "token")
+    return materialize(kept.join(classes.select("rep", *SIGNATURE), "rep"))
+
+
+def _bucketed(rows: DataFrame, turn: int) -> DataFrame:
+    """The rows with their shingle's members dealt to buckets of ``CROWD``, other ones each turn.
+
+    Near copies share many shingles, so most pairs of a cluster meet in some of
+    their buckets; each row meets a bounded number of others, however large the
+    cluster is.
+    """
+    bucket = F.pmod(F.xxhash64("rep", "token", F.lit(turn)), F.ceil(F.col("members") / CROWD))
+    return rows.withColumn("token", F.xxhash64("token", bucket))
+
+
+def _star_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     """Each class with a few of the classes that share a shingle with it.
 
     These few come first among the shingle's members in as many hash orders of
-    all classes, other ones each turn. The orders are the same for all
-    shingles, so that near copies, which share many, mostly meet the same ones.
+    all classes. The orders are the same for all shingles, so that near copies,
+    which share many, mostly meet the same ones.
     """
-    orders = [F.hash("rep", F.lit(turn * CENTERS + i)) for i in range(CENTERS)]
-    members = rows.select("token", "rep", "n", "pos", "component", "fold")
+    orders = [F.hash("rep", F.lit(i)) for i in range(CENTERS)]
+    members = rows.select("token", "rep", "n", "pos", "fold")
     least = rows.groupBy("token").agg(*[F.min(order).alias(f"least_{i}") for i, order in enumerate(orders)])
     first = reduce(or_, [order == F.col(f"least_{i}") for i, order in enumerate(orders)])
     centers = members.join(least, "token").where(first).select(
@@ -314,24 +338,21 @@ def _star_pairs(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
     pairs = (
         members.select("token", *[F.col(c).alias(f"{c}_b") for c in members.columns if c != "token"])
         .join(centers, "token")
-        .where("component_a != component_b")
+        .where("rep_a != rep_b")
         .withColumns({"small": F.col("rep_a"), "large": F.col("rep_b")})
     )
     return _distinct_pairs(pairs.where(rule.possible()))
 
 
-def _all_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Every pair of unconnected classes that passes the filters."""
+def _pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Every pair of unconnected classes that share a token and pass the filters, whole signatures included."""
+    carried = ("rep", "n", "pos", "component", "indexed", "fold", *SIGNATURE)
 
     def side(name: str) -> DataFrame:
-        return rows.select(
-            "token", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "pos", "component", "indexed", "fold")]
-        )
+        return rows.select("token", *[F.col(c).alias(f"{c}_{name}") for c in carried])
 
-    smaller = "(n_a < n_b OR (n_a = n_b AND rep_a < rep_b))"
-    met = side("a").where("indexed_a").join(side("b"), "token").where(
-        F.expr(f"component_a != component_b AND {smaller}") & rule.possible()
-    )
+    smaller = F.expr("component_a != component_b AND (n_a < n_b OR (n_a = n_b AND rep_a < rep_b))")
+    met = side("a").where("indexed_a").join(side("b"), "token").where(smaller & rule.possible() & rule.alike())
     return _distinct_pairs(met.select(F.col("rep_a").alias("small"), F.col("rep_b").alias("large")))
 
 
