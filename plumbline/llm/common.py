@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # White space between words, everywhere in this package.
 GAP = r"[\x20\x09-\x0D]+"
@@ -136,3 +136,26 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` and the ``index`` of each, from 0, in its ``group`` of ``n``; ``group`` is never null.
+
+    Rows are dealt to ranges of (group, order), so that a group that holds most
+    of them is spread over tasks, and equal rows too. Runs jobs.
+    """
+    tie, at, part, first, held = (fresh(rows, c) for c in ("tie", "at", "part", "first", "held"))
+    keys = [group, *order, tie]
+    ranged = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    table = materialize(ranged.drop(tie).withColumn(at, F.monotonically_increasing_id()))
+    table = table.withColumn(part, F.shiftright(at, 33))
+    # One row for each group and range that meet: as many as groups and tasks at most.
+    ends = table.groupBy(group, part).agg(F.min(at).alias(first), F.count("*").alias(held))
+    within = Window.partitionBy(group)
+    before = F.sum(held).over(within.orderBy(part)) - F.col(held)
+    counted = ends.select(group, part, (before - F.col(first)).alias(first), F.sum(held).over(within).alias("n"))
+    return (
+        table.join(materialize(counted), [group, part])
+        .withColumn("index", F.col(at) + F.col(first))
+        .drop(at, part, first)
+    )

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.common import materialize
+from plumbline.llm.common import materialize, numbered
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<before: string, after: string>>"
@@ -158,10 +158,12 @@ def build(
             F.struct(*[c.alias(name) for name, c in payload.items()]).alias("payload"),
         )
     )
-    placed = _numbered(leaves, ["place", "digest"]).select("tree", "index", "n", "digest", "payload")
+    placed = numbered(leaves, "tree", ["place", "digest"]).select("tree", "index", "n", "digest", "payload")
     runs, nodes = _levels(placed, arity, "payload")
-    roots = _numbered(
-        nodes.select(F.lit("").alias("tree"), F.col("tree").alias("key"), F.col("n").alias("leaves"), "digest"), ["key"]
+    roots = numbered(
+        nodes.select(F.lit("").alias("tree"), F.col("tree").alias("key"), F.col("n").alias("leaves"), "digest"),
+        "tree",
+        ["key"],
     )
     top, _ = _levels(roots.select("tree", "index", "n", "digest"), arity)
     return Manifest(
@@ -169,23 +171,6 @@ def build(
     )
 
 
-def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` and the ``index`` of each in its ``tree`` of ``n``, by ranges of rows instead of whole trees."""
-    tie = F.monotonically_increasing_id()  # parts what is equal, however often
-    ranged = rows.withColumn("tie", tie).repartitionByRange("tree", *order, "tie").sortWithinPartitions("tree", *order, "tie")
-    table = materialize(ranged.drop("tie").withColumn("at", F.monotonically_increasing_id()))
-    table = table.withColumn("part", F.shiftright("at", 33))
-    # One row for each tree and range that meet: as many as trees and tasks at most.
-    ends = table.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count("*").alias("held"))
-    before = F.expr("sum(held) OVER (PARTITION BY tree ORDER BY part) - held")
-    counted = ends.select("tree", "part", "first", before.alias("before"), F.expr("sum(held) OVER (PARTITION BY tree)").alias("n"))
-    return (
-        table.join(materialize(counted), ["tree", "part"])
-        .withColumn("index", F.col("at") - F.col("first") + F.col("before"))
-        .drop("at", "part", "first", "before")
-    )
-
-
 def _levels(nodes: DataFrame, arity: int, *kept: str) -> tuple[list[DataFrame], DataFrame]:
     """The runs of every level from the leaves on, and the last node (tree, n of leaves, digest) of each tree."""
     leaves = nodes.select("tree", "index", "digest", "n", F.col("n").alias("leaves"), *kept)

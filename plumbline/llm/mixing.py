@@ -17,9 +17,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.llm.common import WORD, fresh, materialize, words_of
+from plumbline.llm.common import materialize, numbered, words_of
 
-RANGES = 4_096
+RANGES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -45,17 +45,15 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_column: str = "doc_id") ->
     out again. ``taken`` is a multiple of ``size``: the words the mix takes.
 
     A long document is wanted somewhat more often than a short one: in
-    proportion to the binary digits of its size. The same ids give the same mix.
-    Rows that repeat an id within a source and size share one draw. An empty
-    table gives an empty result; other columns are ignored.
+    proportion to the binary digits of its size. Every row has a draw of its own,
+    rows without an id or with the id of others too: it follows from id, text and,
+    among rows equal in these, their number. The same rows give the same mix.
+    Each source's words come as near to its target as one document allows. An
+    empty table gives an empty result; other columns are ignored.
     """
-    sizes = materialize(
-        docs.select(
-            F.col(id_column).alias("id"),
-            F.col("source").cast("string").alias("source"),
-            word_count(F.col("text")).alias("size"),
-        )
-    )
+    sizes = materialize(_rows(docs, id_column))
+    again = _repeated(sizes)
+    sizes = _each_numbered(sizes, again)
     plan, cuts = _plan(sizes, mix)
     drawn = _with_copies(sizes, plan, cuts, mix)
     return drawn.select(
@@ -70,26 +68,57 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_column: str = "doc_id") ->
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns.
 
-    The draw is the one of ``mix_sources``; documents without a word are left out.
+    The draw is the one of ``mix_sources``; documents without a word are left
+    out, an empty table stays empty. Of rows equal in id, source and text but not
+    in other columns it is open which of them is taken how often.
     """
-    sizes = materialize(
-        docs.select(F.col("doc_id").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    )
-    plan, cuts = _plan(sizes, mix)
+    sizes = materialize(_rows(docs, "doc_id"))
+    again = _repeated(sizes)
+    plan, cuts = _plan(_each_numbered(sizes, again), mix)
     # The documents keep their columns, whatever they are called, inside one.
-    whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("doc_id").alias("id"),
-        F.col("source").cast("string").alias("source"),
-        word_count(F.col("text")).alias("size"),
-    )
-    drawn = _with_copies(whole, plan, cuts, mix)
+    whole = _rows(docs, "doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    drawn = _with_copies(_each_numbered(whole, again), plan, cuts, mix)
     repeated = drawn.where("copies > 0").select(
         "row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     )
     return repeated.select("row.*")
 
 
+def _rows(docs: DataFrame, id_column: str, *kept: Column) -> DataFrame:
+    """What is drawn: id, source, size and ``same``, a digest that equal rows share."""
+    source = F.col("source").cast("string")
+    parts = [F.col(id_column).cast("string"), source, F.col("text").cast("string")]
+    whole = F.concat(*[F.coalesce(F.concat(F.lit("="), p), F.lit("-")) for p in parts[:2]], F.lit("\n"))
+    return docs.select(
+        *kept,
+        F.col(id_column).alias("id"),
+        source.alias("source"),
+        word_count(F.col("text")).alias("size"),
+        F.xxhash64(whole, parts[2]).alias("same"),
+    )
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The digests that several rows share."""
+    return materialize(rows.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same"))
+
+
+def _each_numbered(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """``rows`` with ``row_key``, which tells equal rows apart by their number.
+
+    Only rows that are repeated are numbered; a row repeated however often is
+    numbered by the parts of the table that hold it.
+    """
+    one = F.lit(0).cast("bigint")
+    if again.isEmpty():
+        found = rows.withColumn("index", one)
+    else:
+        alone = rows.join(again, "same", "left_anti").withColumn("index", one)
+        several = numbered(rows.join(again, "same", "left_semi"), "same", []).drop("n")
+        found = alone.unionByName(several.select(*alone.columns))
+    return found.withColumn("row_key", F.xxhash64("same", "index")).drop("same", "index")
+
+
 def _plan(sizes: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     """What each class of documents gets, and where each source's order is cut.
 
@@ -131,28 +160,32 @@ def _plan(sizes: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
 
 
 def _targets(classes: DataFrame, mix: Mix) -> DataFrame:
-    """Words for each source. One row per source: ordered in one task."""
+    """Words for each source, however many sources there are.
+
+    The level, words for each unit of weight, rises as sources reach their limit
+    and drop out, until no other does.
+    """
     sources = classes.groupBy("source_key").agg(F.sum("class_size").alias("source_size"))
-    order = Window.orderBy("source_key")
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(mix.weights)))
     weights = F.array(*[F.lit(int(w)) for w in mix.weights])
-    weighed = sources.withColumn("weight", F.get(weights, place).cast("bigint"))
-    # The sources that reach their limit first are those of the least words per weight.
-    first = Window.orderBy(F.col("source_size") / F.col("weight"), "source_key")
-    total = F.sum("source_size").over(Window.partitionBy())
-    held = F.coalesce(F.sum("source_size").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(first.rowsBetween(0, Window.unboundedFollowing))
-    tried = weighed.withColumn("level", (total - mix.most * held).cast("double") / rest).withColumn(
-        "open", F.when(F.col("level") * F.col("weight") <= mix.most * F.col("source_size"), F.col("level"))
-    )
-    level = F.first("open", ignorenulls=True).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return tried.withColumn("chosen", level).select(
-        "source_key",
-        "source_size",
-        F.least(
-            (mix.most * F.col("source_size")).cast("double"), F.col("chosen") * F.col("weight")
-        ).alias("target"),
+    placed = numbered(sources.withColumn("all", F.lit("")), "all", ["source_key"])
+    weighed = materialize(
+        placed.select("source_key", "source_size", F.get(weights, (F.col("index") % len(mix.weights)).cast("int")).cast("bigint").alias("weight"))
     )
+    limit = mix.most * F.col("source_size")
+    level, open_ = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(level) >= limit
+        held = weighed.agg(
+            F.sum("source_size").alias("total"),
+            F.sum(F.when(full, limit)).alias("given"),
+            F.sum(F.when(~full, F.col("weight"))).alias("weight"),
+            F.count(F.when(~full, 1)).alias("open"),
+        ).first()
+        if not held["weight"] or held["open"] == open_:
+            break
+        level, open_ = (held["total"] - (held["given"] or 0)) / held["weight"], held["open"]
+    target = F.least(limit.cast("double"), F.lit(level) * F.col("weight"))
+    return weighed.select("source_key", "source_size", target.alias("target"))
 
 
 def _cuts(sizes: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
@@ -178,38 +211,35 @@ def _cuts(sizes: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     inside = ranked.join(
         cut_range.select("source_key", "range", "before", "need"), ["source_key", "range"]
     )
-    # Rows of one document are one step.
-    step = Window.partitionBy("source_key", "range").orderBy("rank", "id")
+    step = Window.partitionBy("source_key", "range").orderBy("rank", "row_key")
     taken = (
-        inside.groupBy("source_key", "range", "rank", "id", "before", "need")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("end", F.col("before") + F.sum("words").over(step))
+        inside.withColumn("end", F.col("before") + F.sum("size").over(step.rowsBetween(Window.unboundedPreceding, 0)))
         .where("end <= need")
         .groupBy("source_key")
-        .agg(F.max(F.struct("rank", "id")).alias("last"), F.max("end").alias("end"))
+        .agg(F.max(F.struct("rank", "row_key")).alias("last"), F.max("end").alias("end"))
     )
     reached = cut_range.join(taken, "source_key", "left").select(
         "source_key",
         F.col("range").alias("cut_range"),
         F.col("last.rank").alias("last_rank"),
-        F.col("last.id").alias("last_id"),
+        F.col("last.row_key").alias("last_key"),
         (F.col("need") - F.coalesce("end", "before", "all_words")).alias("gap"),
     )
     left = ranked.join(materialize(reached), "source_key").where(~_before_cut())
     closing = left.where(F.abs(F.col("size") - F.col("gap")) < F.col("gap")).groupBy("source_key").agg(
-        F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "rank", "id")).alias("closing")
+        F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "rank", "row_key")).alias("closing")
     )
     return materialize(
         reached.join(closing, "source_key", "left").select(
-            F.col("source_key"), "cut_range", "last_rank", "last_id",
-            F.col("closing.rank").alias("closing_rank"), F.col("closing.id").alias("closing_id"),
+            F.col("source_key"), "cut_range", "last_rank", "last_key",
+            F.col("closing.rank").alias("closing_rank"), F.col("closing.row_key").alias("closing_key"),
         )
     )
 
 
 def _with_copies(rows: DataFrame, plan: DataFrame, cuts: DataFrame, mix: Mix) -> DataFrame:
     drawn = _ranked(rows, plan, mix).join(cuts, "source_key", "left")
-    closing = (F.col("rank") == F.col("closing_rank")) & F.col("id").eqNullSafe(F.col("closing_id"))
+    closing = (F.col("rank") == F.col("closing_rank")) & (F.col("row_key") == F.col("closing_key"))
     extra = F.col("rank").isNotNull() & (_before_cut() | F.coalesce(closing, F.lit(False)))
     return drawn.withColumn("copies", (F.col("certain") + extra.cast("int")).cast("bigint"))
 
@@ -218,7 +248,7 @@ def _before_cut() -> Column:
     """Whether a place of the order lies before the source's cut."""
     whole = F.col("cut_range").isNull() | (F.col("range") < F.col("cut_range"))
     inside = (F.col("rank") < F.col("last_rank")) | (
-        (F.col("rank") == F.col("last_rank")) & (F.coalesce("id", F.lit(-(1 << 63))) <= F.coalesce("last_id", F.lit(-(1 << 63))))
+        (F.col("rank") == F.col("last_rank")) & (F.col("row_key") <= F.col("last_key"))
     )
     return whole | ((F.col("range") == F.col("cut_range")) & F.coalesce(inside, F.lit(False)))
 
@@ -231,7 +261,7 @@ def _ranked(rows: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     keyed = rows.withColumn("source_key", _key(F.col("source"))).withColumn("digits", _digits())
     met = keyed.drop("source").join(plan.drop("class_size"), ["source_key", "digits"])
     draw = (
-        F.conv(F.substring(F.md5(F.concat(F.lit(f"{mix.seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5
+        F.conv(F.substring(F.md5(F.concat(F.lit(f"{mix.seed}:"), F.col("row_key").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5
     ) / float(1 << 48)
     odds = (draw / (1 - draw)) / (F.col("chance") / (1 - F.col("chance")))
     rank = F.when((F.col("chance") > 0) & (F.col("size") > 0), odds / (1 + odds))
