@@ -81,6 +81,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+_written: list[str] = []  # tables of this session in the shared folder, as they were made
+
+
+def written() -> int:
+    """How many tables this session has written so far and not discarded."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the tables number ``first`` up to but without ``last``, which no one reads any more."""
+    jvm = spark._jvm
+    for place in _written[first:last]:
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[first:last]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder.
 
@@ -89,6 +106,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}"
+    _written.append(place)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 

@@ -139,7 +139,7 @@ def _without(
     same = docs.where(~hit).select("*", lines.alias(names[0]), zero.alias(names[1]), zero.alias(names[2]))
     met = docs.where(hit).join(removed, F.col(id_column).cast("bigint") == F.col(key), "left")
     untouched = met.where(F.col(cuts).isNull() | F.col(text_column).isNull())
-    untouched = untouched.select(*docs.columns, lines.alias(names[0]), zero.alias(names[1]), zero.alias(names[2]))
+    untouched = untouched.select(*[F.col(f"`{c}`") for c in docs.columns], lines.alias(names[0]), zero.alias(names[1]), zero.alias(names[2]))
     result = fresh(docs, "result")
     changed = met.where(F.col(cuts).isNotNull() & F.col(text_column).isNotNull())
     changed = changed.withColumn(result, cut(F.col(text_column), F.col(cuts))).select(
