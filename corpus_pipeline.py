@@ -1,55 +1,34 @@
-"""From raw documents to packed sequences: the stages of the corpus pipeline."""
+"""From raw documents to packed sequences: the stages of the corpus pipeline.
+
+Each stage takes and returns whole tables of documents; rows of any content
+and columns of any name pass, and empty tables stay empty. What a stage does
+with nulls, empty texts, ties and repeated rows stands with the function of
+``plumbline.llm`` that it calls.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import jaccard_join, line_dedup, mixing, packing, quality
-from plumbline.llm.common import fresh, materialize, maybe_in, read_documents
+from plumbline.llm import mixing, packing, quality, stages
+from plumbline.llm.common import discard, materialize, read_documents, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the quality rules."""
+    """The documents that pass the quality rules; those without a text do not."""
     labels = read_documents(spark, sf_dir, "labels")
     weights = quality.fit_weights(docs, quality.trusted_ids(labels))
     return quality.keep_good(docs, weights)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks and passages of lines that stand elsewhere already."""
-    cut = line_dedup.dedup_lines(docs, passages=True).select(*docs.columns)
-    return cut.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    """The documents without lines that stand elsewhere already, and without those of which too little is left."""
+    return stages.without_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id, nulls last.
-
-    Documents without an id are told apart by numbers above all ids, which must
-    fit a bigint. Of rows with equal id and text the one with the smallest other
-    columns stays; different texts of one id are one document and stay together.
-    A text without words is in no group.
-    """
-    key = fresh(docs, "group_id")
-    last = docs.agg(F.max("doc_id")).first()[0]
-    number = F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1).cast("bigint")
-    unknown = materialize(docs.where("doc_id IS NULL").withColumn(key, number))
-    rows = docs.where("doc_id IS NOT NULL").withColumn(key, F.col("doc_id").cast("bigint")).unionByName(unknown)
-    found = jaccard_join.near_duplicates(rows, jaccard_join.Rule(words=5, percent=80), id_column=key)
-    others = materialize(found.where(f"{key} != component_id").select(F.col(key).alias("other")).distinct())
-    maybe = maybe_in(others.select(F.xxhash64("other")))
-    hit = maybe(F.xxhash64(key))
-    kept = rows.where(hit).join(others, F.col(key) == F.col("other"), "left_anti")
-    return _once(rows.where(~hit).unionByName(kept), key).select(*docs.columns)
-
-
-def _once(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of equal ``key`` and text once; texts of other ids never leave their place."""
-    counts = rows.groupBy(key, F.xxhash64("text").alias("digest")).agg(F.count("*").alias("times"))
-    again = materialize(counts.where("times > 1").select(key).distinct())
-    hit = maybe_in(again.select(F.xxhash64(key)))(F.xxhash64(key))
-    rest = [c for c in rows.columns if c not in (key, "text")]
-    one = rows.where(hit).groupBy(key, "text").agg(F.min(F.struct(*rest)).alias("rest"))
-    return rows.where(~hit).unionByName(one.select(key, "text", *[F.col(f"rest.{c}").alias(c) for c in rest]))
+    """One document of each group of near-duplicates."""
+    return stages.one_of_each_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each result is written before the next stage reads it."""
+    """All stages on ``documents``; each result is written before the next stage reads it.
+
+    Tables that a stage has written for itself, and its input, go as soon as its
+    result is there; the last stage's stay, as its result reads them.
+    """
     docs = read_documents(spark, sf_dir)
+    first = written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs)
+            discard(spark, first, written() - 1)
     return docs
