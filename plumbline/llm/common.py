@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -136,14 +135,23 @@ def maybe_in(ids: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Colu
     """A test on hashes: true for every one in the only column of ``ids``, and for some others.
 
     A table of ``bits`` bits, whatever the number of ids; a fuller one lets
-    more rows through to the join that decides.
+    more rows through to the join that decides. Spark fills the table, one value
+    that the plan carries, and the test is an expression.
     """
-    table = hash_bits(ids, bits)
+    (name,) = ids.columns
+    place = F.col(name).bitwiseAND(F.lit(bits - 1))
+    words = (
+        ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bits"))
+    )
+    every = ids.sparkSession.range(bits // 64).select(F.col("id").alias("word"))
+    dense = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+    table = materialize(dense.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("t")).select("t.bits")).scalar()
 
-    @F.pandas_udf("boolean")
-    def maybe(hashes: pd.Series) -> pd.Series:
-        place = hashes.to_numpy(dtype=np.int64) & (bits - 1)
-        return pd.Series((table[place >> 6] >> (place & 63)) & 1 == 1)
+    def maybe(hashes: Column) -> Column:
+        word = F.get(table, F.shiftright(hashes.bitwiseAND(F.lit(bits - 1)), 6).cast("int"))
+        return F.call_function("shiftright", word, hashes.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
     return maybe
 

@@ -75,10 +75,10 @@ class Rule:
             f"bit_count(fold_a ^ fold_b) <= {self._differences()}"
         )
 
-    def alike(self) -> Column:
+    def alike(self) -> str:
         """The suffix filter on whole signatures, for columns n and s0 to s3 of a and b."""
         bits = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in SIGNATURE)
-        return F.expr(f"{bits} <= {self._differences()}")
+        return f"{bits} <= {self._differences()}"
 
     def _differences(self) -> str:
         return f"n_a + n_b - 2 * (({self.percent}L * (n_a + n_b) + {99 + self.percent}L) div {100 + self.percent}L)"
@@ -203,7 +203,7 @@ def _bucket(found: np.ndarray) -> np.ndarray:
 def _joined_prefixes(
     texts: DataFrame, grades: np.ndarray, rule: Rule, classes: DataFrame
 ) -> DataFrame:
-    """Rows (token, rep, n, pos, indexed) of the prefix shingles that two classes or more share."""
+    """Rows (token, rep, n, pos, fold, crowded, indexed) of the prefix shingles that two classes or more share."""
 
     low = np.uint64((1 << TOKEN_BITS) - 1)
 
@@ -229,20 +229,15 @@ def _joined_prefixes(
     rows = texts.where("id IS NOT NULL").mapInArrow(prefixes, "token bigint, key bigint, n int, pos int")
     # Copies send the same rows; size and place are packed to keep the shuffle narrow.
     rows = rows.where("token IS NOT NULL AND key IS NOT NULL")
-    packed = rows.select("token", "key", F.expr("n * 4294967296L + pos").alias("place"))
-    packed = packed.distinct()
-    # The place and the filter on nulls, which changes nothing, make both readers of
-    # the rows alike, so that they share one shuffle.
-    shared = (
-        packed.groupBy("token")
-        .agg(F.count("*").alias("members"), F.min("place").alias("least"))
-        .where("members > 1 AND least >= 0")
-    )
-    kept = packed.join(shared.select("token"), "token", "left_semi")
+    packed = rows.select("token", "key", F.expr("coalesce(n * 4294967296L + pos, -1L)").alias("place")).distinct()
+    # A place that can't be null and an inner join keep both readers of the rows
+    # alike, so that they share one shuffle.
+    shared = packed.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
     known = classes.select("key", F.col("n").alias("size"), "rep", "fold")
     share = 2 * rule.percent
     return materialize(
-        kept.join(known, "key")
+        packed.join(shared, "token")
+        .join(known, "key")
         .where("shiftright(place, 32) = size")
         .select(
             "token",
@@ -250,6 +245,7 @@ def _joined_prefixes(
             F.shiftright("place", 32).cast("int").alias("n"),
             F.expr("cast(place & 4294967295L as int)").alias("pos"),
             "fold",
+            (F.col("members") > CROWD).alias("crowded"),
         )
         .withColumn("indexed", F.expr(f"pos < n - (({share} * n + {99 + rule.percent}) div {100 + rule.percent}) + 1"))
     )
@@ -260,29 +256,31 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule, classes: DataFr
     found = materialize(_verify(texts, materialize(_alike(_star_pairs(joined, rule), classes, rule)), rule))
     tried, links = found.select("a", "b"), found.where("linked").select("a", "b")
     components = None if links.isEmpty() else connected_components(links)
-    rows = _open_rows(joined, components, classes)
-    # Later rounds read the texts of what may still be linked, not all texts again.
-    few = materialize(texts.where(maybe_in(rows.select(F.xxhash64("rep")))(F.xxhash64("id"))))
-    turn, merging = 0, True
-    while True:
-        crowded = rows.where(F.col("members") > CROWD)
-        merging = merging and not crowded.isEmpty()
-        pairs = _pairs(_bucketed(crowded, turn), rule) if merging else _pairs(rows, rule)
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+    crowd = materialize(joined.where("crowded").join(classes.select("rep", *SIGNATURE), "rep"))
+    turn, few = 0, None
+    while not (rows := materialize(_open_rows(crowd, components).where(F.col("members") > CROWD))).isEmpty():
+        if few is None:  # the texts of crowds, so that later turns need not read all texts
+            few = materialize(texts.where(maybe_in(rows.select(F.xxhash64("rep")))(F.xxhash64("id"))))
+        pairs = materialize(_signed_pairs(_bucketed(rows, turn), rule).join(tried, ["a", "b"], "left_anti"))
         found = materialize(_verify(few, pairs, rule))
+        tried = tried.unionByName(found.select("a", "b"))
         now = found.where("linked").select("a", "b")
-        fresh_links = now.count()
-        if fresh_links:
+        if fresh_links := now.count():
             links = links.unionByName(now)
             components = connected_components(links)
-        if not merging:
-            return _known(texts, components)
-        if fresh_links:
-            tried = tried.unionByName(found.select("a", "b"))
-            rows = _open_rows(joined, components, classes)
-        # Another round is worth its jobs if this one has linked some of the crowd.
-        merging = 50 * fresh_links >= crowded.select("rep").distinct().count()
+        # Another turn is worth its jobs if this one has linked some of the crowd.
+        if 50 * fresh_links < rows.select("rep").distinct().count():
+            break
         turn += 1
+    rows = materialize(_open_rows(joined, components))
+    crowd = rows.where(F.col("members") > CROWD).join(classes.select("rep", *SIGNATURE), "rep")
+    several = _alike(_pairs(rows.where(F.col("members") <= CROWD), rule), classes, rule)
+    pairs = _signed_pairs(crowd, rule).unionByName(several).distinct()
+    found = materialize(_verify(texts, materialize(pairs.join(tried, ["a", "b"], "left_anti")), rule))
+    now = found.where("linked").select("a", "b")
+    if not now.isEmpty():
+        components = connected_components(links.unionByName(now))
+    return _known(texts, components)
 
 
 def _known(texts: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -291,8 +289,8 @@ def _known(texts: DataFrame, components: DataFrame | None) -> DataFrame:
     return components
 
 
-def _open_rows(joined: DataFrame, components: DataFrame | None, classes: DataFrame) -> DataFrame:
-    """The rows of shingles that stand in several components, with their number and whole signatures.
+def _open_rows(joined: DataFrame, components: DataFrame | None) -> DataFrame:
+    """The rows of shingles that stand in several components, with their number.
 
     What lies within one component has nothing left to find.
     """
@@ -306,8 +304,7 @@ def _open_rows(joined: DataFrame, components: DataFrame | None, classes: DataFra
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
         .where("low != high")
     )
-    kept = rows.join(open_.select("token", "members"), "token")
-    return materialize(kept.join(classes.select("rep", *SIGNATURE), "rep"))
+    return rows.join(open_.select("token", "members"), "token")
 
 
 def _bucketed(rows: DataFrame, turn: int) -> DataFrame:
@@ -344,18 +341,26 @@ def _star_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     return _distinct_pairs(pairs.where(rule.possible()))
 
 
-def _pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Every pair of unconnected classes that share a token and pass the filters, whole signatures included."""
-    carried = ("rep", "n", "pos", "component", "indexed", "fold", *SIGNATURE)
+def _pairs(rows: DataFrame, rule: Rule, carried: tuple[str, ...] = ("fold",), more: str = "true") -> DataFrame:
+    """Every pair of unconnected classes that share a token and pass the filters."""
 
     def side(name: str) -> DataFrame:
-        return rows.select("token", *[F.col(c).alias(f"{c}_{name}") for c in carried])
+        columns = ("rep", "n", "pos", "component", "indexed", *carried)
+        return rows.select("token", *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     smaller = F.expr("component_a != component_b AND (n_a < n_b OR (n_a = n_b AND rep_a < rep_b))")
-    met = side("a").where("indexed_a").join(side("b"), "token").where(smaller & rule.possible() & rule.alike())
+    met = side("a").where("indexed_a").join(side("b"), "token").where(smaller & rule.possible() & F.expr(more))
     return _distinct_pairs(met.select(F.col("rep_a").alias("small"), F.col("rep_b").alias("large")))
 
 
+def _signed_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+    """The same for rows with whole signatures, whose test then is part of the join.
+
+    Crowds of like texts give far more pairs than can be linked; they never leave it.
+    """
+    return _pairs(rows, rule, ("fold", *SIGNATURE), rule.alike())
+
+
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b")).distinct()
 
