@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.common import few_rows, ship
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+# The rest of a tag; a greater-than sign in quotes does not end it.
+_REST = re.compile(r"((?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+)>")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Names of elements and of attributes' words.
@@ -35,7 +36,7 @@ _BLOCK = frozenset(
 _CONTAINER = frozenset(
     "article blockquote body center details div dl figure main ol section table tbody td tr ul".split()
 )
-_LEFT_OUT = frozenset("aside button canvas dialog footer form head menu nav audio video object".split())
+_LEFT_OUT = frozenset("aside button canvas dialog footer head label legend menu nav audio video object".split())
 _CLOSES = {
     **{name: frozenset(["p"]) for name in _BLOCK - {"body", "html"}},
     "li": frozenset(["p", "li"]),
@@ -46,26 +47,30 @@ _CLOSES = {
     "th": frozenset(["p", "td", "th"]),
     "option": frozenset(["option"]),
 }
+_ENDED = frozenset("p li dt dd tr td th option".split())
 _SCOPE = frozenset("table ul ol dl div section article main body html td th blockquote".split())
 # What an element without its end tag ends at, as no such element can hold it.
 _BEYOND = rf"<(?:{'|'.join(sorted(_BLOCK))}|input|select|textarea|svg)(?=[\s/>])"
 _FOREIGN = re.compile(r"<(?:foreignobject|desc|title)(?=[\s/>])", re.I)
 # "has-sidebar" says that something else is the sidebar.
 _MENTION = re.compile(r"(?<![^\s_-])(?:has|no|with|without)[_-]\S*", re.I)
-# A part named otherwise that holds so much of the text is the page.
-_DOMINANT = 0.9
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+_EDGE = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
 _OTHER = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ad|ads|adv|advert\w*|banner|"
-    r"promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|share|sharing|"
-    r"social|related|recommend\w*|comments?|commentlist|discussion|disqus|respond|repl(?:y|ies)|breadcrumbs?|"
-    r"pagination|pager|login|signup|widgets?|toolbar|skip|hidden)(?:$|[\s_-])",
+    _EDGE.format(
+        r"nav|navbar|navigation|menu|masthead|footer|sidebar|aside|ad|ads|adv|advert\w*|sponsor\w*|cookies?|consent|gdpr|"
+        r"popup|modal|overlay|newsletter|subscri\w*|related|recommend\w*|comments?|commentlist|disqus|respond|"
+        r"repl(?:y|ies)|breadcrumbs?|pagination|pager|login|signup|toolbar|skip|hidden"
+    ),
     re.I,
 )
+# Words that stand for a part of a page as well as for what a page is about.
+_PERHAPS = re.compile(_EDGE.format(r"header|banner|promo\w*|notices?|share|sharing|social|discussion|widgets?"), re.I)
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
 
 
 class _Node:
-    __slots__ = ("name", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "sum", "blocks", "heart", "named")
+    __slots__ = ("name", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "sum", "blocks", "heart", "named", "inside", "near")
 
     def __init__(self, name: str, parent: _Node | None, skip: bool) -> None:
         self.name, self.parent, self.skip = name, parent, skip
@@ -73,7 +78,10 @@ class _Node:
         self.chars = self.tags = self.link_chars = self.link_tags = self.blocks = 0
         self.density = self.sum = 0.0
         self.heart: _Node | None = None
-        self.named = False
+        self.named = 0  # 1: perhaps something else than the article, by class, id or as a form; 2: surely
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
+        # Itself or the next element above that a tag can end without saying so, or that keeps it from that.
+        self.near: _Node | None = self if name in _ENDED or name in _SCOPE else parent.near if parent else None
 
 
 def main_text(page: str | None) -> str:
@@ -82,31 +90,66 @@ def main_text(page: str | None) -> str:
         return ""
     body = _tree(page)
     _judge_names(body)
+    _weigh(_order(body), body)
+    return "\n\n".join(block for part in _article(body) for block in _blocks(part))
+
+
+def _order(body: _Node) -> list[_Node]:
+    """The elements of a page that count, outer ones first."""
     order = [body]
     for node in order:
         order.extend(c for c in node.children if isinstance(c, _Node) and not c.skip)
-    _weigh(order, body)
-    return "\n\n".join(block for part in _article(body) for block in _blocks(part))
+    return order
+
+
+def _tags(page: str, jump: list[int]) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, slash, name and attributes of each tag; comments and the like have no name.
+
+    One pass, whatever the markup: a tag whose quotes are never closed ends, as
+    all later ones do, at the next greater-than sign; without one the rest is
+    text. The reader may set ``jump[0]`` to go on from there.
+    """
+    at, quotes = 0, True
+    while (start := page.find("<", at)) >= 0:
+        name, slash, attributes = "", "", ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4) + 3
+            end = len(page) if end == 2 else end
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            end = page.find(">", start) + 1
+        elif match := _NAME.match(page, start + 1):
+            slash, name = match[1], match[2].lower()
+            rest = _REST.match(page, match.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else page.find(">", match.end()) + 1
+            attributes = page[match.end() : end - 1]
+        else:
+            at = start + 1
+            continue
+        if not end:
+            return
+        jump[0] = end
+        yield start, end, slash, name, attributes
+        at = jump[0]
 
 
 def _tree(page: str) -> _Node:
     root = node = _Node("body", None, False)
     missing: set[str] = set()
-    at = 0
-    while match := _TOKEN.search(page, at):
-        if match.start() > at:
-            node.children.append(page[at : match.start()])
-        at = match.end()
-        name = match[2]
-        if name is None:
+    open_ = _Open()
+    jump, at = [0], 0
+    for start, end, slash, name, attributes in _tags(page, jump):
+        if start > at:
+            node.children.append(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if match[1]:
-            node = _close(node, name)
+        if slash:
+            node = open_.close(node, name)
             continue
         if name in _RAW:
-            if not (name == "svg" and match[3].endswith("/")):
-                at = _end(page, name, at, missing)
+            if not (name == "svg" and attributes.endswith("/")):
+                at = jump[0] = _end(page, name, at, missing)
             continue
         if name in ("html", "body"):
             continue
@@ -119,16 +162,52 @@ def _tree(page: str) -> _Node:
         if name in _VOID:
             continue
         if closes := _CLOSES.get(name):
-            node = _implied(node, closes)
-        node.children.append(child := _Node(name, node, _is_other(name, match[3], node)))
-        child.named = _named(match[3])
-        if not match[3].endswith("/"):
-            node = child
+            node = open_.up(node, _implied(node, closes))
+        node.children.append(child := _Node(name, node, _is_other(name, attributes, node)))
+        child.named = max(_named(attributes), name == "form")
+        if not attributes.endswith("/"):
+            node = open_.enter(child)
     if at < len(page):
         node.children.append(page[at:])
     return root
 
 
+class _Open:
+    """Which elements are open, so that an end tag without its start costs nothing."""
+
+    def __init__(self) -> None:
+        self.blocks: Counter[str] = Counter()
+        self.lines: list[Counter[str]] = [Counter()]  # elements within lines, by the block that holds them
+
+    def enter(self, node: _Node) -> _Node:
+        if node.name in _BLOCK:
+            self.blocks[node.name] += 1
+            self.lines.append(Counter())
+        else:
+            self.lines[-1][node.name] += 1
+        return node
+
+    def up(self, node: _Node, to: _Node) -> _Node:
+        """Leave the elements from ``node`` up to below ``to``."""
+        while node is not to:
+            if node.name in _BLOCK:
+                self.blocks[node.name] -= 1
+                self.lines.pop()
+            else:
+                self.lines[-1][node.name] -= 1
+            node = node.parent
+        return node
+
+    def close(self, node: _Node, name: str) -> _Node:
+        """Back to the parent of the open element of that name, if there is one; lines do not end blocks."""
+        if not (self.blocks if name in _BLOCK else self.lines[-1])[name]:
+            return node
+        up = node
+        while up.name != name:
+            up = up.parent
+        return self.up(node, up.parent)
+
+
 def _end(page: str, name: str, at: int, missing: set[str]) -> int:
     """Where the content of an element ends of which nothing is read.
 
@@ -155,60 +234,76 @@ def _end(page: str, name: str, at: int, missing: set[str]) -> int:
 
 
 def _judge_names(body: _Node) -> None:
-    """Leave out the parts of the page that class or id name something else.
+    """Leave out the parts of the page that class or id name something else, and forms.
 
-    Not so where nothing but such a part holds an article or main element, or
-    nearly all of the text.
+    A name counts less than what is there. If such parts alone hold article or
+    main elements, these parts stay. What is perhaps something else stays if the
+    heart of the rest of the page lies in it, a form only if it holds prose. What
+    surely is stays if the heart of the whole page lies in it and no part of the
+    page outside reaches the threshold.
     """
-    order, sizes = [body], {}
-    for node in order:
-        order.extend(c for c in node.children if isinstance(c, _Node) and not c.skip)
-    for node in reversed(order):
-        sizes[node] = sum(sizes[c] if isinstance(c, _Node) and not c.skip else 0 if isinstance(c, _Node) else len("".join(c.split())) for c in node.children)
-    inside, outside = set(), False
-    for node in order:
+    order = _order(body)
+    holds: set[_Node] = set()
+    outside = False
+    free = {body: True}  # whether nothing above is named
+    for node in order[1:]:
+        up = node.parent
+        free[node] = free[up] and not (up.named and up.name not in ("article", "main"))
         if node.name in ("article", "main") and not node.named:
-            above = [up for up in _path(node.parent) if up.named and up.name not in ("article", "main")]
-            inside.update(above)
-            outside = outside or not above
-    for node in order:
-        if node.named and node.name not in ("article", "main"):
-            alone = node in inside and not outside
-            node.skip = not alone and sizes[node] < _DOMINANT * sizes[body]
-
-
-def _close(node: _Node, name: str) -> _Node:
-    """Back to the parent of the open element of that name, if there is one."""
-    up = node
-    while up.parent is not None:
-        if up.name == name:
-            return up.parent
-        if name not in _BLOCK and up.name in _BLOCK:
-            return node
-        up = up.parent
-    return node
+            holds.add(node)
+            outside = outside or free[node]
+    for node in reversed(order):
+        if node in holds and node.parent is not None:
+            holds.add(node.parent)
+    named = [n for n in order if n.named and n.name not in ("article", "main") and (outside or n not in holds)]
+    if not named:
+        return
+    surely = [n for n in named if n.named == 2]
+    if surely:
+        _weigh(order, body)
+        path = list(_path(body.heart)) if body.heart else []
+        kept = {n for n in path if n.named == 2}
+        if kept:
+            top = next(n for n in reversed(path) if n in kept)
+            least = min(n.density for n in path)
+            # Does the method find an article beside the part that holds the heart?
+            beside = any(n.density >= least and n.density for n in _beside(body, top, set(path)))
+            kept = set() if beside else kept
+        for node in surely:
+            node.skip = node not in kept
+    _weigh(_order(body), body)
+    kept = set(_path(body.heart)) if body.heart else set()
+    for node in named:
+        if node.named == 1:
+            node.skip = node not in kept or node.name == "form" and not any(n.name in _PROSE for n in _order(node))
+
+
+def _beside(body: _Node, part: _Node, path: set[_Node]) -> Iterator[_Node]:
+    """The elements outside ``part``, as far as they are not named themselves."""
+    todo = [body]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, _Node) and not child.skip and child is not part and child.named < 2:
+                if child not in path:
+                    yield child
+                todo.append(child)
 
 
 def _implied(node: _Node, closes: frozenset[str]) -> _Node:
-    """Close what a new element ends without saying so, such as a paragraph."""
-    up, out = node, node
-    while up.parent is not None:
+    """Where a new element stands that ends others without saying so, such as a paragraph."""
+    up, out = node.near, node
+    while up is not None and up.parent is not None:
         if up.name in closes:
             out = up.parent
         elif up.name in _SCOPE:
             break
-        up = up.parent
+        up = up.parent.near
     return out
 
 
 def _is_other(name: str, attributes: str, parent: _Node) -> bool:
     """Whether an element is something other than the article by its name or attributes."""
-    if name in _LEFT_OUT:
-        return True
-    up = parent
-    while up is not None and up.name not in ("article", "main"):
-        up = up.parent
-    if name == "header" and up is None:
+    if name in _LEFT_OUT or name == "header" and not parent.inside:
         return True
     if not attributes or name in ("article", "main"):
         return False
@@ -223,16 +318,22 @@ def _is_other(name: str, attributes: str, parent: _Node) -> bool:
     return False
 
 
-def _named(attributes: str) -> bool:
-    """Whether class or id name something other than an article."""
-    return bool(attributes) and any(
-        key.lower() in ("class", "id") and _OTHER.search(_MENTION.sub(" ", value.strip("\"'")))
-        for key, value in _ATTRIBUTE.findall(attributes)
-    )
+def _named(attributes: str) -> int:
+    """Whether class or id name something other than an article: 0 no, 1 perhaps, 2 surely."""
+    found = 0
+    for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        if key.lower() in ("class", "id"):
+            value = _MENTION.sub(" ", value.strip("\"'"))
+            found = max(found, 2 if _OTHER.search(value) else 1 if _PERHAPS.search(value) else 0)
+    return found
 
 
 def _weigh(order: list[_Node], body: _Node) -> None:
     """Densities of all elements, their sums over children, and the container of the largest sum in each."""
+    for node in order:
+        node.chars = node.tags = node.link_chars = node.link_tags = node.blocks = 0
+        node.density = node.sum = 0.0
+        node.heart = None
     for node in reversed(order):
         own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
         node.chars += own
@@ -270,23 +371,30 @@ def _density(node: _Node, links: float) -> float:
 def _article(body: _Node) -> list[_Node]:
     """The parts of the article in page order.
 
-    Of a part of the page that reaches the threshold its own heart is taken as a
-    whole, and what lies around that as far as it reaches the threshold.
+    The threshold is the least density on the way from the heart up to the body.
+    If the heart lies in an article element, this and all others that reach the
+    threshold are taken. Else the page is searched from the main element down, or
+    from the body: of a part that reaches the threshold its own heart is taken as
+    a whole, and what lies around that as far as it reaches the threshold.
     """
     best = body.heart
     if best is None:
         return []
     path = list(_path(best))
-    # An article that says so is taken as a whole.
-    for node in reversed(path):
-        if node.name in ("article", "main"):
-            return [node]
+    links = body.link_chars / max(body.chars, 1)
+    outer = next((n for n in reversed(path) if n.name == "article"), None)
+    if outer is not None:
+        least = min(n.density for n in path)
+        return [n for n in _outermost(body, "article") if n is outer or n.chars and n.density >= least]
+    root = next((n for n in reversed(path) if n.name == "main"), body)
     if best is body:
-        return [body]
+        return _prose(body, links)
+    if best is root:
+        return [root]
+    path = path[: path.index(root) + 1]
     least = min(node.density for node in path[1:])
-    links = body.link_chars / max(body.chars, 1)
     above, hearts, parts = set(path[1:]), {best}, []
-    stack: list[_Node] = [body]
+    stack: list[_Node] = [root]
     while stack:
         node = stack.pop()
         reaches = node.chars and node.density >= least
@@ -303,6 +411,38 @@ def _article(body: _Node) -> list[_Node]:
     return parts
 
 
+def _outermost(body: _Node, name: str) -> Iterator[_Node]:
+    """The elements of a name in page order that lie in no other of that name."""
+    todo = [body]
+    while todo:
+        node = todo.pop()
+        if node.name == name:
+            yield node
+        else:
+            todo.extend(c for c in reversed(node.children) if isinstance(c, _Node) and not c.skip)
+
+
+def _prose(body: _Node, links: float) -> list[_Node]:
+    """Of paragraphs that lie in the body itself: from the first dense piece to the last.
+
+    Dense is what has half the density of the average character, or more;
+    paragraphs and headings next to the first and the last go with them. In
+    between, what has more links than text of its own is left out.
+    """
+    pieces = [p for p in _pieces(body, set(), links) if p.chars]
+    least = sum(p.density * p.chars for p in pieces) / (2 * max(body.chars, 1))
+    dense = [i for i, p in enumerate(pieces) if p.density >= least]
+    if not dense:
+        return []
+    first, last = dense[0], dense[-1]
+    plain = [p.name in _PROSE and 2 * p.link_chars <= p.chars for p in pieces]
+    while first and plain[first - 1]:
+        first -= 1
+    while last + 1 < len(pieces) and plain[last + 1]:
+        last += 1
+    return [p for p in pieces[first : last + 1] if p.density >= least or 2 * p.link_chars <= p.chars]
+
+
 def _pieces(node: _Node, above: set[_Node], links: float) -> Iterator[_Node]:
     """The elements in a node; text and elements within lines that follow each other are one."""
     run: list[_Node | str] = []
@@ -366,9 +506,10 @@ def extract_text(
 ) -> DataFrame:
     """Rows (page_id, url, text, n_chars), one for each of ``pages``.
 
-    A null, empty or text-free page gives an empty text. Equal pages give equal
-    texts, and repeated rows stay. Equal sums are decided by page order, outer
-    element first. Nothing is cut off, however long. Other columns are ignored.
+    A null, empty or text-free page gives an empty text, an empty table no row.
+    Equal pages give equal texts, and repeated rows stay. Equal sums are decided
+    by page order, outer element first. Pages of any length are read whole, in
+    time that grows with their length. Other columns are ignored.
     """
     ship(pages.sparkSession)
     read = pages.select(

@@ -1,0 +1,155 @@
+"""Pages that tags and names do not decide, bad markup at length, and the densities by plain recursion."""
+
+import math
+import random
+import re
+import time
+
+import pytest
+
+from plumbline.llm import html_extract
+from plumbline.llm.html_extract import main_text
+from tests.llm.test_pages_and_vectors import as_html, paragraphs
+
+MENU = "<ul>" + "".join(f"<li><a href=x{i}>Page {i} of the site</a>" for i in range(12)) + "</ul>"
+
+
+def joined(texts):
+    return "\n\n".join(texts)
+
+
+@pytest.mark.parametrize("wrap", ["<form id=aspnetForm>{}</form>", "<div><form method=post>{}</form></div>", "<form class=page><div>{}</div></form>"])
+def test_a_form_around_the_page(wrap):
+    texts = paragraphs("text")
+    inner = f"<nav>{MENU}</nav><label>Search <input></label><button>Go</button><div>{as_html(texts)}</div><div>Imprint</div>"
+    assert main_text("<body>" + wrap.format(inner)) == joined(texts)
+
+
+def test_forms_beside_the_text_go():
+    texts = paragraphs("text", 4)
+    form = "<form><p>Write to us, we read what you write and answer soon.</p><label>Name</label><input><textarea>x</textarea></form>"
+    assert main_text(f"<body><div>{as_html(texts)}</div>{form}") == joined(texts)
+    assert main_text(f"<body><div>{as_html(texts)}{form}</div>") == joined(texts)
+    assert main_text("<body><form><label>Name</label> <input> Send it</form>") == ""
+
+
+@pytest.mark.parametrize("name", ["share-page", "social", "notice page", "post-banner"])
+def test_a_name_that_is_perhaps_something_else(name):
+    texts = paragraphs("text", 8)
+    page = f"<body><div class='{name}'>{as_html(texts)}</div><p>{'Some other words beside it. ' * 8}</p>"
+    assert joined(texts) in main_text(page)
+    widget = f"<div class='{name}'><a href=x>Share</a> <a href=y>Send</a> this page with others</div>"
+    assert main_text(f"<body><div>{as_html(texts)}</div>{widget}") == joined(texts)
+
+
+def test_paragraphs_in_the_body():
+    texts = [*paragraphs("one", 5), "Short.", *paragraphs("two", 5)]
+    page = f"<body><div>The site's name</div>{MENU}<h1>Title</h1>{as_html(texts[:6])}{MENU}{as_html(texts[6:])}{MENU}<div>Imprint</div></body>"
+    assert main_text(page) == joined(["Title", *texts])
+
+
+def test_several_articles():
+    one, two = paragraphs("one", 6), paragraphs("two", 6)
+    teasers = "".join(f"<article><a href=x{i}>Teaser {i}</a></article>" for i in range(5))
+    page = f"<body><main><article>{as_html(one)}</article><article><h2>Second</h2>{as_html(two)}</article><div>{MENU} Beside it</div>{teasers}</main></body>"
+    assert main_text(page) == joined([*one, "Second", *two])
+    page = f"<body><main><div>{MENU}</div><div>{as_html(one)}</div><div>{MENU}</div></main><div>{as_html(two)}</div>"
+    assert main_text(page) == joined(one)
+
+
+BAD = {
+    "nested": lambda n: "<div>" * n,
+    "open tags": lambda n: "<a " * n,
+    "open tags and an end": lambda n: "<a " * n + ">" + "<p>end",
+    "quotes": lambda n: "<a x=\"' " * n,
+    "one quote": lambda n: "<a \">" + "<b x='>" * n,
+    "no start": lambda n: "<b>" * n + "</i>" * n,
+    "no start in blocks": lambda n: "<i><div>" + "<b>" * n + "</i>" * n,
+    "paragraphs in lines": lambda n: "<b>" * n + "<p>x" * n,
+    "lists": lambda n: "<ul><li>" * n,
+    "items": lambda n: "<td><b><li><dt><tr>" * n,
+    "articles": lambda n: "<div class=comments>" * n + "<article>" * n + "text",
+    "names": lambda n: "<div class='share'>" * n + "text " * n,
+    "closed": lambda n: "<div class='menu'>x</div>" * n,
+    "svg": lambda n: "<svg><foreignObject>" * n,
+    "select": lambda n: "<select><option>" * n,
+    "comments": lambda n: "<!-- <!" * n,
+    "declarations": lambda n: "<!x " * n,
+    "less": lambda n: "< " * n,
+    "raw": lambda n: "<noscript><template>" * n,
+    "parts": lambda n: "<div><p>" + "text of a part that is long enough to count " * 2 + "</div>" * 1 + "<span>x</span>" * n,
+}
+
+
+@pytest.mark.parametrize("name", BAD)
+def test_a_megabyte_of_bad_markup(name):
+    """Four times the page takes some four times as long, not sixteen."""
+    make = BAD[name]
+    size = len(make(1_000)) / 1_000
+    long = make(int(1_000_000 / size))
+    begun = time.process_time()
+    main_text(long + "<p>The end.")
+    assert time.process_time() - begun < 15
+
+
+def random_page(chance, depth=0):
+    out = []
+    for _ in range(chance.randint(1, 4)):
+        kind = chance.random()
+        if kind < 0.4 or depth > 4:
+            out.append("<p>" + "words of a sentence, " * chance.randint(1, 12) + "</p>")
+        elif kind < 0.6:
+            out.append("<div>" + "".join(f"<a href=x>link {i}</a> " for i in range(chance.randint(1, 5))) + "</div>")
+        else:
+            out.append(f"<div>{random_page(chance, depth + 1)}</div>")
+    return "".join(out)
+
+
+def numbers(node):
+    """Characters, tags, linked characters and link tags of a node, by recursion."""
+    c, t, lc, lt = 0, 0, 0, 0
+    for child in node.children:
+        if isinstance(child, str):
+            c += len(re.sub(r"\s", "", child))
+        else:
+            a = numbers(child)
+            c, t, lc, lt = c + a[0], t + a[1] + 1, lc + a[2], lt + a[3]
+    return (c, t, c, lt + 1) if node.name == "a" else (c, t, lc, lt)
+
+
+def density(node, body):
+    c, t, lc, lt = numbers(node)
+    all_c, _, all_lc, _ = numbers(body)
+    if not c:
+        return 0.0
+    share = math.log(c / max(c - lc, 1) * lc + all_lc / max(all_c, 1) * c + math.e)
+    return c / max(t, 1) * max(math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / math.log(share + 1), 0)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_densities_by_recursion(seed):
+    body = html_extract._tree(f"<body>{random_page(random.Random(seed))}</body>")
+    order = html_extract._order(body)
+    html_extract._weigh(order, body)
+    sums = {}
+    for node in order:
+        assert node.density == pytest.approx(density(node, body))
+        children = [c for c in node.children if not isinstance(c, str)]
+        sums[node] = sum(density(c, body) for c in children)
+        assert node.sum == pytest.approx(sums[node])
+    containers = [n for n in order if n.name in html_extract._CONTAINER and numbers(n)[0]]
+    assert body.heart.sum == pytest.approx(max(sums[n] for n in containers))
+    # Every part that is taken reaches the threshold, or holds the largest sum of one that does.
+    heart = body.heart
+    parts = html_extract._article(body)
+    if heart is not body:
+        least = min(density(n, body) for n in list(html_extract._path(heart))[1:])
+        assert heart in parts
+        for part in parts:
+            reaching = [n for n in html_extract._path(part) if density(n, body) >= least or n is heart]
+            assert reaching or part.name == "p"
+
+
+def test_given_pages_without_their_article_tags(spark, folder):
+    pages = [r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    assert all(main_text(re.sub("</?article>", "", page)) == main_text(page) for page in pages)

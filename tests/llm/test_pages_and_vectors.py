@@ -32,10 +32,13 @@ def paragraphs(name, n=10):
     return [f"{name} {i} " + "says a little more about it all, " * 3 + "and ends." for i in range(n)]
 
 
+def as_html(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
 def test_main_text_of_several_containers():
     """No article or main element; what is linked or short beside the text is left out."""
     one, two, three = (paragraphs(x) for x in ("one", "two", "three"))
-    as_html = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
     links = "<div>" + "".join(f"<a href=x{i}>Another page {i}</a> " for i in range(30)) + "</div>"
     page = f"<body>{links}<div id=content><div>{as_html(one)}</div><div>{as_html(two)}</div></div>{links}<div>Imprint</div>"
     assert html_extract.main_text(page) == "\n\n".join(one + two)
