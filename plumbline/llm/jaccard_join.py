@@ -262,14 +262,16 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule, classes: DataFr
         if few is None:  # the texts of crowds, so that later turns need not read all texts
             few = materialize(texts.where(maybe_in(rows.select(F.xxhash64("rep")))(F.xxhash64("id"))))
         pairs = materialize(_signed_pairs(_bucketed(rows, turn), rule).join(tried, ["a", "b"], "left_anti"))
-        found = materialize(_verify(few, pairs, rule))
+        found = materialize(_compared(few, pairs, rule))
         tried = tried.unionByName(found.select("a", "b"))
         now = found.where("linked").select("a", "b")
         if fresh_links := now.count():
             links = links.unionByName(now)
             components = connected_components(links)
-        # Another turn is worth its jobs if this one has linked some of the crowd.
-        if 50 * fresh_links < rows.select("rep").distinct().count():
+        # Another turn is worth its jobs if this one has linked some of the crowd,
+        # and not so many that hardly anything of it can be left apart.
+        crowded = rows.select("rep").distinct().count()
+        if not crowded <= 50 * fresh_links < 75 * crowded:
             break
         turn += 1
     rows = materialize(_open_rows(joined, components))
@@ -379,7 +381,11 @@ def _alike(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 def _verify(texts: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Rows (a, b, linked): each pair's sets compared once, from the whole texts."""
     wanted = maybe_in(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b")))))
-    few = texts.where(wanted(F.xxhash64("id")))
+    return _compared(texts.where(wanted(F.xxhash64("id"))), pairs, rule)
+
+
+def _compared(few: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The same for texts of which most are wanted."""
     met = (
         pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(few.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")

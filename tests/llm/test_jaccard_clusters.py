@@ -45,13 +45,13 @@ def components(texts, rule):
 
 def test_a_large_cluster_is_tried_in_linear_work(spark, monkeypatch):
     tried = []
-    verify = jaccard_join._verify
+    verify = jaccard_join._compared
 
     def counted(texts, pairs, rule):
         tried.append(pairs.count())
         return verify(texts, pairs, rule)
 
-    monkeypatch.setattr(jaccard_join, "_verify", counted)
+    monkeypatch.setattr(jaccard_join, "_compared", counted)
     monkeypatch.setattr(jaccard_join, "CROWD", 32)
     texts = cluster(1_000, 100, 4, 1) + cluster(100, 60, 6, 2)
     rule = Rule(4, 85)
