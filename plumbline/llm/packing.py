@@ -28,8 +28,7 @@ class Packing:
     capacity: int = 1024
     end_id: int = 2
     tokenizer: str | None = None
-    groups: int = 64
-    smallest_long: int = 256
+    groups: int = 400
 
 
 def pack_documents(
@@ -50,7 +49,7 @@ def pack_documents(
     )
     pieces = materialize(texts.mapInArrow(_pieces(packing), PIECES))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    plan = plan_packing(counts, packing.capacity, packing.groups, packing.smallest_long)
+    plan = plan_packing(counts, packing.capacity, packing.groups)
     placed = _ranked(pieces, sum(counts.values())).mapInArrow(
         _placed(plan), f"{PIECES}, sequence_id bigint, offset bigint"
     )

@@ -6,9 +6,11 @@ ranks of each length go to which sequences, at which offset.
 
 The linear grouping scheme: long pieces, in descending order, are cut into
 groups of equal number and rounded up to the longest of their group. For these
-few sizes a linear programme over patterns (what one sequence holds) is solved
-by column generation and rounded down. The actual lengths then take the places
-of the rounded ones, and everything else is put where it fits best.
+sizes, of which there are fewer than places in a sequence whatever the corpus, a
+linear programme over patterns (what one sequence holds) is solved by column
+generation. Each pattern is used as often as the solution says, rounded down;
+the actual lengths take the places of the rounded ones, but for the last place
+of a pattern, which goes to what then fits best. So do all other pieces.
 """
 
 from __future__ import annotations
@@ -28,20 +30,30 @@ class Plan:
     sequences: int = 0
 
 
-def plan_packing(
-    counts: dict[int, int], capacity: int, groups: int = 64, smallest_long: int = 256, filled: float = 0.5
-) -> Plan:
-    packer = _Packer(counts, capacity)
-    long_ = [(length, n) for length, n in sorted(counts.items(), reverse=True) if smallest_long < length]
+def plan_packing(counts: dict[int, int], capacity: int, groups: int = 400) -> Plan:
+    """The plan for pieces counted by length, none longer than ``capacity``.
+
+    Rounding up wastes more than it saves where lengths are spread evenly over
+    more sizes than there are groups; then the pieces are placed by best fit alone.
+    """
+    packer, alone = _Packer(counts, capacity), _Packer(counts, capacity)
+    # Longer than a quarter, so that three fit into a sequence at most; whole sequences need no plan.
+    long_ = [(length, n) for length, n in sorted(counts.items(), reverse=True) if capacity < 4 * length < 4 * capacity]
     sizes, members = _groups(long_, groups)
     for pattern, times in _patterns(sizes, [sum(n for _, n in m) for m in members], capacity):
-        packer.fill(pattern, int(times * filled), members)
+        packer.fill(pattern, times, members)
     packer.best_fit()
-    return packer.plan
+    alone.best_fit()
+    return packer.plan if packer.plan.sequences <= alone.plan.sequences else alone.plan
 
 
 def _groups(long_: list[tuple[int, int]], groups: int):
-    """Rounded sizes and, for each, its actual [length, number] in descending order."""
+    """Rounded sizes and, for each, its actual [length, number] in descending order.
+
+    With no more lengths than groups each is one, and nothing is rounded.
+    """
+    if len(long_) <= groups:
+        return [length for length, _ in long_], [[[length, n]] for length, n in long_]
     total = sum(n for _, n in long_)
     sizes: list[int] = []
     members: list[list[list[int]]] = []
@@ -61,53 +73,66 @@ def _groups(long_: list[tuple[int, int]], groups: int):
 
 
 def _patterns(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """How often each pattern is used: {place of the size: pieces}, times."""
+    """How often each pattern is used: {place of the size: pieces}, times.
+
+    Patterns enter as long as they could save half a sequence.
+    """
     k = len(sizes)
     if not k:
         return []
+    size, wanted = np.array(sizes), np.array(demand, dtype=float)
     basis = np.diag([float(capacity // s) for s in sizes])
-    wanted = np.array(demand, dtype=float)
-    used = np.linalg.solve(basis, wanted)
-    for _ in range(40 * k):
-        prices = np.linalg.solve(basis.T, np.ones(k))
-        column = _best_pattern(sizes, prices, capacity)
-        if prices @ column <= 1 + 1e-9:
+    inverse = np.diag(1 / np.diag(basis))
+    used = inverse @ wanted
+    for turn in range(1, 40 * k):
+        prices = inverse.sum(axis=0)
+        column = _best_pattern(size, prices, capacity)
+        value, total = prices @ column, used.sum()
+        if total - total / max(value, 1.0) < 0.5:
             break
-        change = np.linalg.solve(basis, column)
-        ratios = np.where(change > 1e-12, used / np.where(change > 1e-12, change, 1), np.inf)
+        change = inverse @ column
+        ratios = np.where(change > 1e-9, used / np.where(change > 1e-9, change, 1), np.inf)
         out = int(np.argmin(ratios))
         basis[:, out] = column
-        used = np.maximum(used - ratios[out] * change, 0)
-        used[out] = ratios[out]
+        if turn % 500:
+            row = inverse[out] / change[out]
+            inverse -= np.outer(change, row)
+            inverse[out] = row
+            used = np.maximum(used - ratios[out] * change, 0)
+            used[out] = ratios[out]
+        else:  # what rounding has added up goes
+            inverse = np.linalg.inv(basis)
+            used = np.maximum(inverse @ wanted, 0)
     found = []
     for i in range(k):
         times = int(used[i] + 1e-6)
         if times:
-            found.append(({j: int(round(basis[j, i])) for j in range(k) if basis[j, i] > 0.5}, times))
+            found.append(({j: int(round(basis[j, i])) for j in np.flatnonzero(basis[:, i] > 0.5).tolist()}, times))
     return found
 
 
-def _best_pattern(sizes: list[int], prices: np.ndarray, capacity: int) -> np.ndarray:
-    """The most valuable pieces that fit into one sequence: an unbounded knapsack."""
-    size = np.array(sizes)
-    best = np.zeros(capacity + 1)
-    chosen = np.full(capacity + 1, -1)
-    for room in range(int(size.min()), capacity + 1):
-        fits = np.flatnonzero(size <= room)
-        values = best[room - size[fits]] + prices[fits]
-        at = int(np.argmax(values))
-        if values[at] > best[room - 1]:
-            best[room], chosen[room] = values[at], fits[at]
-        else:
-            best[room], chosen[room] = best[room - 1], -1
-    column, room = np.zeros(len(sizes)), capacity
-    while room > 0:
-        if chosen[room] < 0:
-            room -= 1
-        else:
-            column[chosen[room]] += 1
-            room -= sizes[chosen[room]]
-    return column
+def _best_pattern(size: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The most valuable pieces, three at most, that fit into one sequence."""
+    k = len(size)
+    # The best single piece for every room; place k stands for none.
+    worth = np.append(prices, 0.0)
+    best = np.full(capacity + 1, k)
+    at = k
+    by_size = np.argsort(size, kind="stable")
+    sorted_sizes = size[by_size]
+    for i in range(k):
+        if worth[by_size[i]] > worth[at]:
+            at = by_size[i]
+        best[sorted_sizes[i] : sorted_sizes[i + 1] if i + 1 < k else None] = at
+    room = capacity - np.append(size, 0)
+    rest = room[:, None] - np.append(size, 0)[None, :]
+    third = np.where(rest >= 0, best[np.maximum(rest, 0)], k)
+    value = np.where(rest >= 0, worth[:, None] + worth[None, :] + worth[third], -1.0)
+    first, second = np.unravel_index(int(np.argmax(value)), value.shape)
+    column = np.zeros(k + 1)
+    for place in (first, second, third[first, second]):
+        column[place] += 1
+    return column[:k]
 
 
 class _Packer:

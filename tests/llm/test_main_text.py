@@ -82,14 +82,14 @@ BAD = {
 
 
 @pytest.mark.parametrize("name", BAD)
-def test_a_megabyte_of_bad_markup(name):
-    """Four times the page takes some four times as long, not sixteen."""
+def test_long_bad_markup(name):
+    """Time grows with the page, not with its square: the worst took minutes for these."""
     make = BAD[name]
     size = len(make(1_000)) / 1_000
-    long = make(int(1_000_000 / size))
+    long = make(int(400_000 / size))
     begun = time.process_time()
     main_text(long + "<p>The end.")
-    assert time.process_time() - begun < 15
+    assert time.process_time() - begun < 8
 
 
 def random_page(chance, depth=0):
