@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.llm.common import few_rows, ship
+from plumbline.llm.common import few_rows, materialize, ship
 
 UNKNOWN = "und"
 
@@ -51,8 +51,10 @@ class Model:
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from the columns ``doc_id``, ``text`` and ``lang`` of ``docs``.
 
-    Rows without a language or without a letter teach nothing. The model has
-    ``buckets`` numbers for each centroid and comes to the driver.
+    Rows without a language or without a letter teach nothing; a table without
+    others gives a model that names no language. Texts are read whole, however
+    long; their vectors are what is grouped. The model has ``buckets`` numbers for
+    each centroid and comes to the driver. Repeated rows count each time.
     """
     ship(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
@@ -60,7 +62,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     )
     texts, held = _document_frequencies(known.select("text"), settings)
     idf = np.log((texts + 1) / (held + 1)) + 1
-    clustered = _sample(known, settings).groupBy("lang").applyInPandas(
+    sample = _sample(known, settings).mapInArrow(_sampled(settings, idf), "lang string, place int, vector binary")
+    clustered = sample.groupBy("lang").applyInPandas(
         _cluster(settings, idf), "lang string, place int, centroid array<float>, low double"
     )
     found = sorted(clustered.collect(), key=lambda r: (r["lang"], r["place"]))
@@ -147,24 +150,38 @@ def _document_frequencies(texts: DataFrame, settings: Settings) -> tuple[int, np
 
 def _sample(known: DataFrame, settings: Settings) -> DataFrame:
     """At most ``sample`` texts of each language, those of the smallest hash of their id."""
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    hashed = known.join(F.broadcast(sizes.limit(10_000)), "lang", "left").withColumn(
+    sizes = materialize(known.groupBy("lang").agg(F.count("*").alias("n")))
+    hashed = known.join(sizes, "lang").withColumn(
         "u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     )
-    near = hashed.where(F.col("u") * F.coalesce("n", F.lit(0)) <= 1.2 * settings.sample + 50)
+    near = hashed.where(F.col("u") * F.col("n") <= 1.2 * settings.sample + 50)
     order = Window.partitionBy("lang").orderBy("u", "doc_id")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.sample).select("lang", "text", "place")
 
 
+def _sampled(settings: Settings, idf: np.ndarray):
+    """The vectors of the sample's texts that have a letter, for mapInArrow: bounded, however long the texts."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_rows(batches):
+            parts = list(_vectors(batch.column("text").to_pylist(), settings, idf))
+            if parts:
+                vectors, letters = (np.concatenate(x) for x in zip(*parts))
+                taken = pa.array(np.flatnonzero(letters))
+                held = pa.array([v.tobytes() for v in vectors[letters]], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("lang").take(taken), batch.column("place").take(taken), held], names=["lang", "place", "vector"]
+                )
+
+    return weigh
+
+
 def _cluster(settings: Settings, idf: np.ndarray):
-    """Spherical k-means of a language's sample, for applyInPandas."""
+    """Spherical k-means of the vectors of a language's sample, for applyInPandas."""
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
-        parts = [v[ok] for v, ok in _vectors(list(rows["text"]), settings, idf)]
-        vectors = np.concatenate(parts) if parts else np.zeros((0, settings.buckets), np.float32)
-        if not len(vectors):
-            return pd.DataFrame({"lang": [], "place": [], "centroid": [], "low": []})
+        vectors = np.stack([np.frombuffer(v, dtype=np.float32) for v in rows["vector"]])
         # Start from the mean, then from whatever is farthest from all so far.
         centers = [_unit(vectors.mean(axis=0))]
         while len(centers) < min(settings.centroids, len(vectors)):
