@@ -59,6 +59,19 @@ def number_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[
     return list(columns)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def none_of(df: DataFrame, schema: str) -> DataFrame:
+    """A result without rows: what is asked about no column or rule."""
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def batches(items: Sequence, size: int) -> list[Sequence]:
     """The items in order, at most ``size`` at a time.
 

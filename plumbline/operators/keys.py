@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.columns import col
+from plumbline.functions.columns import col, unused
 
 
 def key_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -16,7 +16,8 @@ def key_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     shuffle, so a key that holds a large part of the table costs one row per
     task.
     """
-    return _counts(df, keys).where(F.col("n") > 1)
+    n = unused(df, "n")
+    return _counts(df, keys, n).where(F.col(n) > 1).withColumnRenamed(n, "n")
 
 
 def key_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,16 +25,17 @@ def key_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ``surplus_rows`` is the number of rows to drop for the keys to be unique.
     """
+    n = unused(df, "n")
     return (
-        _counts(df, keys)
+        _counts(df, keys, n)
         .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
             F.count("*").alias("keys"),
-            F.count_if(F.col("n") > 1).alias("repeated_keys"),
+            F.count_if(F.col(n) > 1).alias("repeated_keys"),
         )
         .withColumn("surplus_rows", F.col("rows") - F.col("keys"))
     )
 
 
-def _counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("n"))
+def _counts(df: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    return df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias(n))

@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.columns import batches, col, number_columns, present
+from plumbline.functions.columns import batches, col, none_of, number_columns, present
 
 
 def moments(
@@ -19,8 +19,13 @@ def moments(
     ``sd`` is the sample standard deviation. Skewness and excess kurtosis are
     the population ones, without the small-sample correction. With ``by``, one
     row per group and column; each task sends one row per group it has seen.
+    Without a numeric column there are no rows.
     """
     columns = [c for c in number_columns(df, columns) if c not in by]
+    if not columns:
+        facts = [F.lit(None).cast("double").alias(f) for f in ("mean", "sd", "skewness", "kurtosis")]
+        names = [F.lit("").alias("column"), F.lit(0).cast("bigint").alias("n")]
+        return df.select(*[col(b) for b in by], *names, *facts).limit(0)
     parts = [_moments(df, part, by) for part in batches(columns, 6)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -54,9 +59,11 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Pearson correlation of every pair: ``left``, ``right``, ``n``, ``correlation``.
 
     A row counts for a pair if both values are present. The correlation with a
-    constant is NULL. Several pairs share a pass.
+    constant is NULL. Several pairs share a pass. Without a pair there are no rows.
     """
     pairs = list(combinations(number_columns(df, columns), 2))
+    if not pairs:
+        return none_of(df, "left string, right string, n bigint, correlation double")
     parts = [_correlations(df, part) for part in batches(pairs, 8)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -25,6 +25,10 @@ def order_gaps(
     time of an entity's part give the gaps across the cuts, so no task has to
     hold one entity.
     """
+    return _gaps(df, entity, order, time, parts).withColumnRenamed("entity", entity)
+
+
+def _gaps(df: DataFrame, entity: str, order: str, time: str, parts: int | None) -> DataFrame:
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     when = col(time)
     if isinstance(df.schema[time].dataType, T.DateType):
@@ -60,7 +64,7 @@ def order_gaps(
             F.max(F.greatest("longest", "gap")).alias("longest"),
         )
         .select(
-            F.col("entity").alias(entity),
+            "entity",
             "rows",
             "gaps",
             "backward_steps",
@@ -75,7 +79,7 @@ def order_summary(
 ) -> DataFrame:
     """``order_gaps`` over all entities, in one row."""
     zero = F.lit(0).cast("bigint")
-    return order_gaps(df, entity, order, time, parts).agg(
+    return _gaps(df, entity, order, time, parts).agg(
         F.count("*").alias("entities"),
         F.coalesce(F.sum("rows"), zero).alias("rows"),
         F.coalesce(F.sum("gaps"), zero).alias("gaps"),

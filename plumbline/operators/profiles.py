@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbline.functions.columns import batches, is_text, kind_of, number_columns, present
+from plumbline.functions.columns import batches, is_text, kind_of, none_of, number_columns, present
 from plumbline.operators.selection import quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -67,6 +67,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     one row per task.
     """
     columns = list(columns) if columns is not None else df.columns
+    if not columns:
+        return none_of(df, "column string, distinct bigint")
     branches = [
         df.select(_comparable(df, name).alias("value"))
         .where(F.col("value").isNotNull())

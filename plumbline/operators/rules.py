@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.columns import batches
+from plumbline.functions.columns import batches, none_of
 
 
 def rule_check(df: DataFrame, rules: Mapping[str, str | Column]) -> DataFrame:
@@ -16,7 +16,10 @@ def rule_check(df: DataFrame, rules: Mapping[str, str | Column]) -> DataFrame:
     A rule is a boolean expression that should hold for every row. A row on
     which it is NULL neither keeps nor breaks the rule and counts as
     ``unknown``. Up to 40 rules are counted in one pass, without a shuffle of rows.
+    Without a rule there are no rows.
     """
+    if not rules:
+        return none_of(df, "rule string, rows bigint, violations bigint, unknown bigint")
     parts = [_counted(df, part) for part in batches(list(rules.items()), 40)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
