@@ -19,7 +19,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col, present
@@ -79,6 +78,8 @@ class OrderedBuckets:
 
     def _placed(self, df: DataFrame, name: str, keep: Sequence[str]) -> DataFrame:
         cuts = self.cuts[name]
+        from pyspark.ml.feature import Bucketizer  # brings pandas along, which most checks do without
+
         values = df.select(*[col(k) for k in keep], _as_double(df, name).alias("value")).where(
             F.col("value").isNotNull()
         )
