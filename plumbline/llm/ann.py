@@ -11,14 +11,17 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.llm.common import materialize, ship
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 COPIES_SALT = 16
 
 
@@ -240,6 +243,8 @@ def _best_of_leaf(k: int):
     """Exact scores of a leaf's vectors for its queries, the best of each query."""
 
     def best(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         if not len(members) or not len(asked):
             return pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64"})
         ids, vectors = members["id"].to_numpy(), np.stack(members["v"].to_numpy())

@@ -11,14 +11,17 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm.common import few_rows, materialize, ship
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 UNKNOWN = "und"
 
 
@@ -180,6 +183,8 @@ def _cluster(settings: Settings, idf: np.ndarray):
     """Spherical k-means of the vectors of a language's sample, for applyInPandas."""
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         rows = rows.sort_values("place")
         vectors = np.stack([np.frombuffer(v, dtype=np.float32) for v in rows["vector"]])
         # Start from the mean, then from whatever is farthest from all so far.

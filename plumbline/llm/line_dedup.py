@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -118,8 +117,10 @@ def _without(
     lines = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(F.split(F.col(text_column), "\n"))).cast("bigint")
     zero = F.lit(0).cast("bigint")
 
-    @F.pandas_udf("text string, lines bigint, chunks bigint")
-    def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("text string, lines bigint, chunks bigint", F.PandasUDFType.SCALAR)
+    def cut(texts, lists):
+        import pandas as pd
+
         out = []
         for text, found in zip(texts, lists):
             lines = text.split("\n")
