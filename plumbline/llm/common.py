@@ -111,6 +111,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 FILTER_BITS = 1 << 24
+MAYBE_BITS = 1 << 21  # of a table that the plan, and so every task, carries: 256 kB
 
 
 def hash_bits(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -131,7 +132,7 @@ def hash_bits(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return table
 
 
-def maybe_in(ids: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+def maybe_in(ids: DataFrame, bits: int = MAYBE_BITS) -> Callable[[Column], Column]:
     """A test on hashes: true for every one in the only column of ``ids``, and for some others.
 
     A table of ``bits`` bits, whatever the number of ids; a fuller one lets
