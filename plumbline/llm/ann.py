@@ -35,15 +35,17 @@ class Forest:
     ``least`` at least; vectors that it meets in several trees count each time.
     Directions without any structure, as in the given tables, need a large share
     for a recall of 0.9; clustered ones far less. A leaf of more than
-    ``rows_per_part`` vectors is searched in parts.
+    ``rows_per_part`` vectors is searched in parts, and so are its queries if
+    there are more than ``queries_per_part`` of them in all.
     """
 
     trees: int = 8
     sample: int = 65_536
     leaf: float = 1 / 64
-    meet: float = 1.0
+    meet: float = 1.2
     least: int = 2_000
     rows_per_part: int = 20_000
+    queries_per_part: int = 20_000
     seed: int = 7
 
 
@@ -69,9 +71,11 @@ def nearest(
 
     Nearness is the inner product in double precision; ranks start at 1, ties go
     to the smaller id. ``queries`` is a condition on ``vectors``, by default an
-    id divisible by 20. Vectors that are null, zero, not of the usual length, or
-    that hold a null or non-finite component take no part, nor do null ids. Of
-    rows that repeat an id the smallest vector counts. An empty table, or a
+    id divisible by 20. Vectors that are null, zero, or that hold a null or
+    non-finite component take no part, nor do null ids. All others should be
+    equally long; where they are not, only those of the most frequent length take
+    part (of equally frequent ones the shorter). Of rows that repeat an id the
+    smallest vector counts. An empty table, or a
     single vector, gives no rows; other columns are ignored.
     """
     ship(vectors.sparkSession)
@@ -107,10 +111,13 @@ def nearest(
     )
     many = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]) if parts else None
     piece = F.lit(0) if many is None else F.pmod(F.xxhash64("id"), F.coalesce(many[F.col("leaf")], F.lit(1))).cast("int")
+    # Any leaf may be asked by all queries: these are dealt too, and meet their own copy of the leaf.
+    salts = -(-table.where("asked").count() // forest.queries_per_part) or 1
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("query"), F.lit(salts)).cast("int"))
+    copied = located.withColumn("part", piece).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = (
-        located.withColumn("part", piece)
-        .groupBy("leaf", "part")
-        .cogroup(asked.groupBy("leaf", "part"))
+        copied.groupBy("leaf", "part", "salt")
+        .cogroup(salted.groupBy("leaf", "part", "salt"))
         .applyInPandas(_best_of_leaf(k), "query bigint, id bigint, score double")
     )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")

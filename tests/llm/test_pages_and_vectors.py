@@ -160,6 +160,21 @@ def test_nearest_recall(spark, folder):
     assert all(r.score == (by_id[r.query_id] * by_id[r.vec_id]).sum() for r in found)
 
 
+def test_recall_of_the_default_forest(spark):
+    """More vectors than any query meets by the least number alone."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in table.collect()]
+    more = np.random.default_rng(6).normal(size=(2_000, len(vectors[0][1])))
+    scale = np.std([v for _, v in vectors])
+    vectors += [(100_000 + i, v * scale) for i, v in enumerate(more)]
+    assert len(vectors) > 1.5 * ann.Forest().least
+    expected = exact(vectors, 20)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors], "vec_id bigint, embedding array<double>")
+    found = ann.nearest(df).collect()
+    hits = sum(r.vec_id in {j for j, _ in expected[r.query_id]} for r in found)
+    assert hits >= 0.9 * sum(map(len, expected.values()))
+
+
 def test_nearest_of_awkward_vectors(spark):
     """Copies, ties, several lengths, and vectors that take no part; small enough to be exact."""
     random = np.random.default_rng(3)
@@ -183,6 +198,6 @@ def test_nearest_searches_large_leaves_in_parts(spark):
     random = np.random.default_rng(4)
     rows = [(i, [float(x) for x in random.normal(size=6)]) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    found = ann.nearest(df, k=5, forest=ann.Forest(trees=2, leaf=1.0, rows_per_part=50)).collect()
+    found = ann.nearest(df, k=5, forest=ann.Forest(trees=2, leaf=1.0, rows_per_part=50, queries_per_part=7)).collect()
     expected = exact([(i, np.array(v)) for i, v in rows], 5)
     assert {(r.query_id, r["rank"], r.vec_id) for r in found} == {(q, k + 1, j) for q, best in expected.items() for k, (j, _) in enumerate(best)}
