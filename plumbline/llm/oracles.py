@@ -41,6 +41,47 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
 
+# Host and path as the rules read them; without a rule the url is allowed.
+_URLS = f"""
+WITH p AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM p
+), parts AS (
+  SELECT page_id, {_lower("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), won AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+    row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC) AS place
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT page_id, host, path, rule, verdict FROM won WHERE place = 1) AS w USING (page_id, host, path)
+"""
+
+# Sets of shingles, pairs by a common one, and all documents that links lead to.
+_COMPONENTS = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), i AS (
+  SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS k FROM d WHERE len(w) > 0
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k + 1, k + 4), ' ') AS shingle FROM i
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id != b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other
+)
+SELECT doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def _merkle(levels: int = 7, arity: int = 8) -> str:
     """Levels of runs written out one by one; enough of them for arity ** levels leaves of a tree."""
 
@@ -105,4 +146,9 @@ def _merkle(levels: int = 7, arity: int = 8) -> str:
 
 
 def oracles() -> dict[str, str]:
-    return {"op11_decontaminate": _DECONTAMINATE, "op13_merkle": _merkle()}
+    return {
+        "op6_url_filter": _URLS,
+        "op7_jaccard_join": _COMPONENTS,
+        "op11_decontaminate": _DECONTAMINATE,
+        "op13_merkle": _merkle(),
+    }

@@ -6,7 +6,10 @@ from itertools import combinations
 
 from plumbline.llm import jaccard_join
 from plumbline.llm.jaccard_join import Rule, near_duplicates
+from plumbline.llm.oracles import oracles
+from plumbline.llm.queries import op7_jaccard_join
 from tests.llm.data import DOCS, word
+from tests.oracle import connect, spark_rows, sql_rows
 
 
 def cluster(n, length, edits, seed):
@@ -78,3 +81,7 @@ def test_empty_and_wordless_tables(spark):
     rows = [(1, None), (2, " \n"), (3, ""), (None, None)]
     found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert Counter(tuple(r) for r in found) == Counter([(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 0, None)])
+
+
+def test_same_as_sql(spark, folder):
+    assert spark_rows(op7_jaccard_join(spark, folder)) == sql_rows(connect(folder), oracles()["op7_jaccard_join"])

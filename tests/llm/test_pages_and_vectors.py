@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import ann, html_extract, url_filter
+from plumbline.llm.oracles import oracles
+from plumbline.llm.queries import op6_url_filter
+from tests.oracle import connect, spark_rows, sql_rows
 
 ARTICLE = "A sentence of the article that is long enough to count, with &amp; and caf&eacute;."
 PAGES = [
@@ -128,6 +131,10 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, schema), rules=[]).collect()} == {"allow"}
 
 
+def test_url_rules_as_in_sql(spark, folder):
+    assert spark_rows(op6_url_filter(spark, folder)) == sql_rows(connect(folder), oracles()["op6_url_filter"])
+
+
 @pytest.mark.parametrize("listed", [0, 1, 40, 2000])
 def test_cascade_is_exact_over_its_universe(spark, listed):
     universe = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"))
