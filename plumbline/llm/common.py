@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,27 @@ def discard(spark: SparkSession, first: int, last: int) -> None:
     del _written[first:last]
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Jobs run inside hand rows to Python tasks in Arrow batches of about ``size`` bytes at most.
+
+    The usual 64 MB are held by the executor and by the worker, for every task
+    at a time, and Python takes whole texts by a few rows anyway. A limit that
+    the session has been given stays as it is.
+    """
+    if BATCH_BYTES in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder.
 
@@ -110,6 +132,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def materialize_from_texts(df: DataFrame) -> DataFrame:
+    """The same for what Python tasks make of whole texts."""
+    with small_batches(df.sparkSession):
+        return materialize(df)
+
+
 FILTER_BITS = 1 << 24
 MAYBE_BITS = 1 << 21  # of a table that the plan, and so every task, carries: 256 kB
 

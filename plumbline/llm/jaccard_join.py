@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.common import few_rows, materialize, maybe_in, ship
+from plumbline.llm.common import few_rows, materialize, materialize_from_texts, maybe_in, ship
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import mix, shingle_sets
 
@@ -167,7 +167,7 @@ def _sets_and_grades(texts: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarra
             names=["part", "counts"],
         )
 
-    both = materialize(
+    both = materialize_from_texts(
         texts.mapInArrow(summarize, schema)
     )
     parts = both.where("part IS NOT NULL").select("part", "counts")
@@ -235,7 +235,7 @@ def _joined_prefixes(
     shared = packed.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
     known = classes.select("key", F.col("n").alias("size"), "rep", "fold")
     share = 2 * rule.percent
-    return materialize(
+    return materialize_from_texts(
         packed.join(shared, "token")
         .join(known, "key")
         .where("shiftright(place, 32) = size")
@@ -253,7 +253,7 @@ def _joined_prefixes(
 
 def _components(texts: DataFrame, joined: DataFrame, rule: Rule, classes: DataFrame) -> DataFrame:
     """Rows (node, component) of the classes that are linked with another."""
-    found = materialize(_verify(texts, materialize(_alike(_star_pairs(joined, rule), classes, rule)), rule))
+    found = materialize_from_texts(_verify(texts, materialize(_alike(_star_pairs(joined, rule), classes, rule)), rule))
     tried, links = found.select("a", "b"), found.where("linked").select("a", "b")
     components = None if links.isEmpty() else connected_components(links)
     crowd = materialize(joined.where("crowded").join(classes.select("rep", *SIGNATURE), "rep"))
@@ -262,7 +262,7 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule, classes: DataFr
         if few is None:  # the texts of crowds, so that later turns need not read all texts
             few = materialize(texts.where(maybe_in(rows.select(F.xxhash64("rep")))(F.xxhash64("id"))))
         pairs = materialize(_signed_pairs(_bucketed(rows, turn), rule).join(tried, ["a", "b"], "left_anti"))
-        found = materialize(_compared(few, pairs, rule))
+        found = materialize_from_texts(_compared(few, pairs, rule))
         tried = tried.unionByName(found.select("a", "b"))
         now = found.where("linked").select("a", "b")
         if fresh_links := now.count():
@@ -278,7 +278,7 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule, classes: DataFr
     crowd = rows.where(F.col("members") > CROWD).join(classes.select("rep", *SIGNATURE), "rep")
     several = _alike(_pairs(rows.where(F.col("members") <= CROWD), rule), classes, rule)
     pairs = _signed_pairs(crowd, rule).unionByName(several).distinct()
-    found = materialize(_verify(texts, materialize(pairs.join(tried, ["a", "b"], "left_anti")), rule))
+    found = materialize_from_texts(_verify(texts, materialize(pairs.join(tried, ["a", "b"], "left_anti")), rule))
     now = found.where("linked").select("a", "b")
     if not now.isEmpty():
         components = connected_components(links.unionByName(now))

@@ -22,7 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import FILTER_BITS, few_rows, fresh, hash_bits, materialize, maybe_in, ship
+from plumbline.llm.common import (
+    FILTER_BITS,
+    few_rows,
+    fresh,
+    hash_bits,
+    materialize,
+    materialize_from_texts,
+    maybe_in,
+    ship,
+)
 
 _UNITS = "id bigint, line int, n int, h1 bigint, h2 bigint, text string"
 
@@ -78,8 +87,8 @@ def dedup_lines(
         F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text")
     )
     keys = texts.mapInArrow(_key_rows(chunks, passages), "h1 bigint")
-    suspects = materialize(keys.groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1"))
-    found = materialize(texts.mapInArrow(_unit_rows(chunks, passages, hash_bits(suspects)), _UNITS))
+    suspects = materialize_from_texts(keys.groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1"))
+    found = materialize_from_texts(texts.mapInArrow(_unit_rows(chunks, passages, hash_bits(suspects)), _UNITS))
     removed = (
         found.where("id IS NOT NULL")
         .select("id", "line", "n", "h1", "h2")
@@ -117,7 +126,6 @@ def _without(
     lines = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(F.split(F.col(text_column), "\n"))).cast("bigint")
     zero = F.lit(0).cast("bigint")
 
-    @F.pandas_udf("text string, lines bigint, chunks bigint", F.PandasUDFType.SCALAR)
     def cut(texts, lists):
         import pandas as pd
 
@@ -134,6 +142,9 @@ def _without(
             out.append(("\n".join(kept), len(lines) - len(kept), many))
         return pd.DataFrame(out, columns=["text", "lines", "chunks"])
 
+    # Else a filter on the result would be pushed below it and every text cut twice, by two workers a task.
+    cut = F.pandas_udf(cut, "text string, lines bigint, chunks bigint", F.PandasUDFType.SCALAR).asNondeterministic()
+
     # Texts without repeats never leave their place; only the others meet their cuts.
     maybe = maybe_in(removed.select(F.xxhash64(key)))
     hit = maybe(F.xxhash64(F.col(id_column).cast("bigint")))

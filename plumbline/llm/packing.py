@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.llm.common import few_rows, materialize, ship
+from plumbline.llm.common import few_rows, materialize_from_texts, ship
 from plumbline.llm.packing_plan import plan_packing
 
 ROWS_PER_TASK = 500_000
@@ -47,7 +47,7 @@ def pack_documents(
     texts = docs.select(
         F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text")
     )
-    pieces = materialize(texts.mapInArrow(_pieces(packing), PIECES))
+    pieces = materialize_from_texts(texts.mapInArrow(_pieces(packing), PIECES))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = plan_packing(counts, packing.capacity, packing.groups)
     placed = _ranked(pieces, sum(counts.values())).mapInArrow(

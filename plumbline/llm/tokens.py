@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-MOST_REMEMBERED = 400_000  # pieces; a worker's memory, about 100 MB
-_encoders: dict[str, Callable[[str], bytes]] = {}
+MOST_REMEMBERED = 400_000  # pieces of one task, about 100 MB
+_vocabularies: dict[str, Callable] = {}
 
 # White space beside a space: there a token may reach across the space.
 _CROSSED = re.compile(r"\s \s?| \s|^ | $")
@@ -24,13 +24,19 @@ def encoder(path: str | None = None) -> Callable[[str], bytes]:
     byte-level vocabulary of 50k entries, for which a faster way is taken: its
     rank file gives the same ids, and its pre-tokenizer starts a new token at
     every single space between two other characters, so that the pieces between
-    such spaces are encoded, and remembered, by themselves. One for each worker
-    process and file.
+    such spaces are encoded, and remembered, by themselves. What is remembered
+    goes with the function: a worker lives on, and the tasks of later stages need
+    its memory. The vocabulary stays, one for each worker process and file.
     """
-    key = path or ""
-    if key not in _encoders:
-        _encoders[key] = _by_file(path) if path else _by_ranks()
-    return _encoders[key]
+    if path:
+        return _vocabulary(path, lambda: _by_file(path))
+    return _by_ranks(_vocabulary("", _rank_file))
+
+
+def _vocabulary(key: str, load: Callable[[], Callable]) -> Callable:
+    if key not in _vocabularies:
+        _vocabularies[key] = load()
+    return _vocabularies[key]
 
 
 def _by_file(path: str) -> Callable[[str], bytes]:
@@ -41,15 +47,20 @@ def _by_file(path: str) -> Callable[[str], bytes]:
     return lambda text: _bytes(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-def _by_ranks() -> Callable[[str], bytes]:
+def _rank_file() -> Callable[[str], list[int]]:
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    ordinary = tiktoken.Encoding(
+    return tiktoken.Encoding(
         "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     ).encode_ordinary
+
+
+def _by_ranks(ordinary: Callable[[str], list[int]]) -> Callable[[str], bytes]:
+    import public_tokenizers
+
     whole: list[Callable[[str], bytes]] = []
     known: dict[str, bytes] = {}
 

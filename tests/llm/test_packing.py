@@ -1,6 +1,7 @@
 """The packing plan against best fit alone and the least possible, and token ids against the tokenizers file."""
 
 import random
+import tracemalloc
 import unicodedata
 from collections import Counter, defaultdict
 from itertools import product
@@ -109,3 +110,21 @@ def test_token_ids_of_any_text():
     for _ in range(800):
         text = "".join(chance.choice(parts) * chance.choice([1, 1, 1, 2, 5]) for _ in range(chance.randint(0, 40)))
         assert np.frombuffer(encode(text), dtype="<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_what_an_encoder_remembers_goes_with_it():
+    """A worker that has encoded texts keeps the vocabulary, not their words."""
+    encoder(None)("some words")  # loads the vocabulary
+    texts = [" ".join(f"w{i}x{j}" for i in range(100)) for j in range(300)]
+    tracemalloc.start()
+    try:
+        start = tracemalloc.get_traced_memory()[0]
+        encode = encoder(None)
+        for text in texts:
+            encode(text)
+        held = tracemalloc.get_traced_memory()[0] - start
+        del encode
+        left = tracemalloc.get_traced_memory()[0] - start
+    finally:
+        tracemalloc.stop()
+    assert held > 2_000_000 and left < held / 10

@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import common
+from plumbline.llm import common, stages
 from plumbline.llm.common import materialize
 from plumbline.llm.queries import queries
 from tests.llm.data import DOCS, documents
@@ -120,3 +120,34 @@ def test_query_runs(spark, folder, name):
     table = "pages" if name in ("op5_main_text", "op6_url_filter") else "documents"
     if name not in ("op4_packing", "op8_nearest", "op12_whitening", "pipeline"):
         assert df.count() == spark.read.parquet(f"{folder}/{table}.parquet").count()
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Rows of 16 MB of text, and the session's setting afterwards."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    texts = spark.range(0, 1600, 1, 1).selectExpr("repeat('0123456789', 1000) AS text")
+    before = dict(spark.conf.getAll)
+    found = common.materialize_from_texts(texts.mapInArrow(sizes, "n bigint, size bigint")).collect()
+    assert sum(r.n for r in found) == 1600 and max(r["size"] for r in found) < 6_000_000
+    assert dict(spark.conf.getAll) == before
+    # What a user has set holds.
+    spark.conf.set(common.BATCH_BYTES, "64m")
+    try:
+        found = common.materialize_from_texts(texts.mapInArrow(sizes, "n bigint, size bigint")).collect()
+        assert max(r["size"] for r in found) > 6_000_000 and spark.conf.get(common.BATCH_BYTES) == "64m"
+    finally:
+        spark.conf.unset(common.BATCH_BYTES)
+
+
+def test_lines_are_cut_once_a_text(spark):
+    """The stage's filter reads the cut texts; one Python evaluation serves it and the result."""
+    line = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"{line}\nfirst"), (2, f"second\n{line}"), (3, " ".join(f"other{i}" for i in range(30)) + f"\n{line}")]
+    cut = stages.without_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: rows[0][1], 3: rows[2][1].split("\n")[0]}
