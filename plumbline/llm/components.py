@@ -17,7 +17,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     Every node is hung on the smallest node it knows, first its larger, then its
     smaller neighbours, until nothing moves. Rounds grow with the logarithm of
     the longest path. A node with many links is one running minimum per task
-    and a join that Spark can split.
+    and a join that Spark can split. Where minima or edges can be broadcast, a round
+    has three shuffles: the driver keeps a record of each of their tasks.
     """
     edges = materialize(
         links.where("a IS NOT NULL AND b IS NOT NULL AND a != b")
@@ -40,15 +41,15 @@ def _state(edges: DataFrame):
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    # Every edge points from the larger to the smaller node. The star of the smaller
+    # end is hung on the least node it knows; as many rows as edges, some of them alike.
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    ).distinct()
+    return edges.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    # Every edge points from the larger to the smaller node.
+    # Both ends of an edge are hung on the least neighbour of its larger one.
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    ends = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    return ends.where("u > v").distinct()

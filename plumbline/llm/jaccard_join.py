@@ -266,8 +266,7 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule, classes: DataFr
         tried = tried.unionByName(found.select("a", "b"))
         now = found.where("linked").select("a", "b")
         if fresh_links := now.count():
-            links = links.unionByName(now)
-            components = connected_components(links)
+            components = _extended(components, now)
         # Another turn is worth its jobs if this one has linked some of the crowd,
         # and not so many that hardly anything of it can be left apart.
         crowded = rows.select("rep").distinct().count()
@@ -281,10 +280,17 @@ def _components(texts: DataFrame, joined: DataFrame, rule: Rule, classes: DataFr
     found = materialize_from_texts(_verify(texts, materialize(pairs.join(tried, ["a", "b"], "left_anti")), rule))
     now = found.where("linked").select("a", "b")
     if not now.isEmpty():
-        components = connected_components(links.unionByName(now))
+        components = _extended(components, now)
     return _known(texts, components)
 
 
+def _extended(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components with more links: each one known counts as one link a node, whatever it grew from."""
+    if components is not None:
+        links = links.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return connected_components(links)
+
+
 def _known(texts: DataFrame, components: DataFrame | None) -> DataFrame:
     if components is None:
         return texts.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)

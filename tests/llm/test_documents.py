@@ -8,8 +8,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard_join, language, licenses, line_dedup, mixing, packing, quality
+from plumbline.llm import components, jaccard_join, language, licenses, line_dedup, mixing, packing, quality
+from plumbline.llm.common import materialize
 from plumbline.llm.components import connected_components
 from plumbline.llm.packing_plan import plan_packing
 from tests.llm.data import DOCS, documents
@@ -84,6 +86,43 @@ def test_components(spark):
     assert {(r[0], r[1]) for r in found} == {(2, 1), (3, 1), (9, 8), (20, 10), *[(i, 100) for i in range(101, 181)]}
 
 
+def tasks_of(spark, group, work):
+    """How many tasks the jobs of ``work`` have run."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+
+def test_components_take_few_tasks(spark):
+    """A round has three shuffles, one read twice: the driver keeps a record of every task of every stage."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "a bigint, b bigint").coalesce(1)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = materialize(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        found = []
+        run = lambda: found.extend(components._small_star(components._large_star(edges)).collect())
+        assert tasks_of(spark, "one round of components", run) < 5 * 40
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {u for u, _ in found} == set(range(2, 10)) and len(set(found)) == len(found) and all(u > v for u, v in found)
+
+
+def test_weights_are_one_constant(spark):
+    """An array of a literal for each bucket would be copied and rewritten with every rule of the plan."""
+    values = [0.0, -0.0, 1e-06, -1.5, 12.345678] * 2_000
+    table = spark.range(1).select(quality.Weights(values).column().alias("table"))
+    assert table._jdf.queryExecution().analyzed().expressions().head().collectLeaves().size() < 10
+    assert table.first().table == values
+
+
 def repeated_words(w):
     windows = defaultdict(list)
     for i in range(len(w) - 7):
